@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import minhash, ppm, quality, url_rules
+from lodestone.llm import html_region, minhash, ppm, quality, textcnn, url_rules
 from lodestone.llm.common import crc_mod, table
 
 #: The rule list of op6.
@@ -22,12 +22,27 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_filter(table(spark, sf_dir, "documents"))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    pages = table(spark, sf_dir, "pages")
+    return html_region.extract_main_text(pages, html_region.learn_weights(pages))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict of every page's URL."""
     rules = spark.createDataFrame(URL_RULES, url_rules.RULE_SCHEMA)
     return url_rules.judge_urls(table(spark, sf_dir, "pages"), rules)
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, by a classifier that never saw the held-out fifth's labels."""
+    docs = table(spark, sf_dir, "documents")
+    fitted = textcnn.fit_toxicity(docs, table(spark, sf_dir, "labels"), crc_mod("doc_id", 5) != 0)
+    out = textcnn.score_toxicity(docs, fitted)
+    held_out = F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False))
+    return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "threshold", "flagged")
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document, by trees that never saw the held-out quarter."""
     docs = table(spark, sf_dir, "documents")
@@ -40,7 +55,9 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_quality_rules": op2_quality_rules,
+    "op3_html_extraction": op3_html_extraction,
     "op6_url_filter": op6_url_filter,
+    "op8_toxicity": op8_toxicity,
     "op9_language_id": op9_language_id,
 }
 
