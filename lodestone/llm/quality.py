@@ -122,10 +122,15 @@ def quality_filter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     own = fences(groups, "own")
     lang = fences(merged(groups, ["key0"]), "lang").withColumnRenamed("key0", "lang_key")
-    whole = fences(merged(groups, []), "all")
+    whole = fences(merged(groups, []), "all").first()  # one row of two numbers a measure
     # One row a group, with the fence of the smallest enclosing group that has MIN_GROUP rows.
-    table = own.join(lang, own.key0.eqNullSafe(lang.lang_key)).join(whole, F.lit(True))
-    pick = lambda m: F.when(F.col("n_own") >= MIN_GROUP, F.col(f"{m}_own")).when(F.col("n_lang") >= MIN_GROUP, F.col(f"{m}_lang")).otherwise(F.col(f"{m}_all"))
+    table = own.join(lang, own.key0.eqNullSafe(lang.lang_key))
+
+    def pick(m: str) -> Column:
+        fence = whole[f"{m}_all"]
+        common = F.struct(*(F.lit(fence[k]).cast("double").alias(k) for k in ("low", "high")))
+        return F.when(F.col("n_own") >= MIN_GROUP, F.col(f"{m}_own")).when(F.col("n_lang") >= MIN_GROUP, F.col(f"{m}_lang")).otherwise(common)
+
     table = table.select(F.col("key0").alias("g0"), F.col("key1").alias("g1"), *(pick(m).alias(f"{m}_fence") for m in names))
 
     out = rows.join(table, rows.key0.eqNullSafe(table.g0) & rows.key1.eqNullSafe(table.g1), "left")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import html_region, minhash, ppm, quality, textcnn, url_rules
+from lodestone.llm import decontam, html_region, minhash, ppm, quality, textcnn, url_rules
 from lodestone.llm.common import crc_mod, table
 
 #: The rule list of op6.
@@ -28,6 +28,11 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_region.extract_main_text(pages, html_region.learn_weights(pages))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Test items that every document overlaps with."""
+    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict of every page's URL."""
     rules = spark.createDataFrame(URL_RULES, url_rules.RULE_SCHEMA)
@@ -56,6 +61,7 @@ QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_quality_rules": op2_quality_rules,
     "op3_html_extraction": op3_html_extraction,
+    "op4_decontamination": op4_decontamination,
     "op6_url_filter": op6_url_filter,
     "op8_toxicity": op8_toxicity,
     "op9_language_id": op9_language_id,
@@ -76,3 +82,18 @@ hit AS (SELECT rid, max_by(rule, length(rule)) AS rule, max_by(r_verdict, length
 SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule, coalesce(r_verdict, 'allow') AS verdict
 FROM parts LEFT JOIN hit USING (rid)
 """
+
+#: The overlap by its definition, without seeds: ten equal words within twelve on one alignment.
+ORACLES["op4_decontamination"] = r"""
+WITH dw AS (SELECT doc_id, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL),
+iw AS (SELECT item_id, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM benchmark WHERE text IS NOT NULL),
+dp AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM dw),
+ip AS (SELECT item_id, unnest(w) AS word, generate_subscripts(w, 1) AS q, len(w) AS n FROM iw),
+dense AS (SELECT doc_id, item_id, p - q AS d, n FROM dp JOIN ip USING (word) GROUP BY ALL HAVING count(*) >= least(n, 10)),
+eq AS (SELECT doc_id, item_id, p - q AS d, q, n FROM dp JOIN ip USING (word) SEMI JOIN dense ON dense.doc_id = dp.doc_id AND dense.item_id = ip.item_id AND dense.d = p - q),
+span AS (SELECT *, lead(q, 9) OVER (PARTITION BY doc_id, item_id, d ORDER BY q) - q AS reach, count(*) OVER (PARTITION BY doc_id, item_id, d) AS m FROM eq),
+ok AS (SELECT doc_id, item_id, max(m) AS m FROM span WHERE (n >= 12 AND reach < 12) OR (n < 12 AND m = n) GROUP BY ALL),
+agg AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS item_ids, max(m) AS n_matched FROM ok GROUP BY doc_id)
+SELECT doc_id, n_items IS NOT NULL AS contaminated, coalesce(n_items, 0)::BIGINT AS n_items, coalesce(item_ids, '') AS item_ids, coalesce(n_matched, 0)::BIGINT AS n_matched
+FROM documents LEFT JOIN agg USING (doc_id)
+"""
