@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import decontam, html_region, minhash, ppm, quality, textcnn, url_rules
+from lodestone.llm import decontam, html_region, minhash, ppm, quality, templates, textcnn, url_rules
 from lodestone.llm.common import crc_mod, table
 
 #: The rule list of op6.
@@ -33,6 +33,12 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without its recurring lines."""
+    out = templates.drop_recurring_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_dropped", "text")
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict of every page's URL."""
     rules = spark.createDataFrame(URL_RULES, url_rules.RULE_SCHEMA)
@@ -62,6 +68,7 @@ QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op3_html_extraction": op3_html_extraction,
     "op4_decontamination": op4_decontamination,
+    "op5_line_dedup": op5_line_dedup,
     "op6_url_filter": op6_url_filter,
     "op8_toxicity": op8_toxicity,
     "op9_language_id": op9_language_id,
@@ -97,3 +104,22 @@ agg AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY ite
 SELECT doc_id, n_items IS NOT NULL AS contaminated, coalesce(n_items, 0)::BIGINT AS n_items, coalesce(item_ids, '') AS item_ids, coalesce(n_matched, 0)::BIGINT AS n_matched
 FROM documents LEFT JOIN agg USING (doc_id)
 """
+
+ORACLES["op5_line_dedup"] = r"""
+WITH texts AS (SELECT DISTINCT text FROM documents WHERE text IS NOT NULL),
+lines AS (SELECT text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM texts),
+toks AS (SELECT text, pos, list_transform(list_filter(string_split_regex(line, '[\x20\x09-\x0D]+'), lambda x: x <> ''),
+    lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS tokens FROM lines),
+l AS (SELECT text, pos, tokens, len(tokens) AS n, (len(tokens), tokens[1:3]) AS leaf, CASE WHEN len(tokens) >= 8 THEN 3 ELSE 20 END AS need FROM toks WHERE len(tokens) >= 3),
+leaves AS (SELECT leaf FROM l GROUP BY leaf, need HAVING count(DISTINCT text) >= need),
+bodies AS (SELECT leaf, tokens, n, need, count(DISTINCT text) AS n_docs FROM l SEMI JOIN leaves USING (leaf) GROUP BY ALL),
+each AS (SELECT leaf, tokens, n, need, n_docs, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS p FROM bodies),
+fixed AS (SELECT leaf, p, token FROM each GROUP BY leaf, p, token, need HAVING sum(n_docs) >= need),
+recurring AS (SELECT tokens FROM each SEMI JOIN fixed USING (leaf, p, token) GROUP BY tokens, n HAVING 100 * count(*) >= 80 * n),
+gone AS (SELECT text, list(pos) AS pos, sum(n) AS words FROM l SEMI JOIN recurring USING (tokens) GROUP BY text),
+d AS (SELECT doc_id, documents.text, gone.pos, 100 * words < 80 * len(list_filter(string_split_regex(documents.text, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS clear
+    FROM documents LEFT JOIN gone ON documents.text = gone.text)
+SELECT doc_id, CASE WHEN text IS NULL THEN 0 ELSE len(string_split(text, chr(10))) END::BIGINT AS n_lines, CASE WHEN clear THEN len(pos) ELSE 0 END::BIGINT AS n_dropped,
+  CASE WHEN clear THEN array_to_string(list_filter(string_split(text, chr(10)), lambda x, i: NOT list_contains(pos, i)), chr(10)) ELSE text END AS text
+FROM d
+"""
