@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import decontam, html_region, minhash, ppm, quality, templates, textcnn, url_rules
+from lodestone.llm import decontam, html_region, minhash, ppm, quality, sampled_pieces, templates, textcnn, url_rules
 from lodestone.llm.common import crc_mod, table
 
 #: The rule list of op6.
@@ -63,6 +63,16 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "bits_a_byte")
 
 
+#: Model file of op10; any BPE model with byte pieces will do.
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op10_sampled_pieces(spark: SparkSession, sf_dir: str, model: str = PIECE_MODEL) -> DataFrame:
+    """Distinct sampled segmentations of every document, with the check that they decode to it."""
+    vocab = sampled_pieces.load_vocabulary(spark, model)
+    return sampled_pieces.encode_documents(table(spark, sf_dir, "documents"), vocab)
+
+
 QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_quality_rules": op2_quality_rules,
@@ -72,6 +82,7 @@ QUERIES = {
     "op6_url_filter": op6_url_filter,
     "op8_toxicity": op8_toxicity,
     "op9_language_id": op9_language_id,
+    "op10_sampled_pieces": op10_sampled_pieces,
 }
 
 ORACLES: dict[str, str] = {}
