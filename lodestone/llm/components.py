@@ -40,11 +40,12 @@ def connected_components(links: DataFrame, scratch: Scratch, name: str = "cc") -
     edges = scratch.save(edges, f"{name}0")
     last = None
     for k in range(MAX_ROUNDS):
-        # the sum of the links' hashes tells a round that changed nothing
-        edges = scratch.save(_star(scratch.save(_star(edges, large=True), f"{name}{k}l"), large=False), f"{name}{k + 1}")
-        scratch.drop(f"{name}{k}", f"{name}{k}l")
+        # the number and the sum of the links' hashes tell a round that changed nothing
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == last:
+        if now == last or not now[0]:
             break
         last = now
+        wide = scratch.save(_star(edges, large=True), f"{name}{k}l")
+        edges = scratch.save(_star(wide, large=False), f"{name}{k + 1}")
+        scratch.drop(f"{name}{k}", f"{name}{k}l")
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

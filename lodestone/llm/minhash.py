@@ -7,13 +7,15 @@
    and bucket, however large the bucket.
 3. Signatures drop clearly dissimilar pairs; the full shingle sets confirm the rest.
 4. Links give components (large-star, small-star). A bucket whose members lie in one
-   component is done. Others take a further pivot, until so few pairs across components
-   are left that they can all be compared, which ends the search exactly.
+   component is done. Of the others, all pairs across components are compared: set sizes
+   and 192 signature bits, which travel with the members, sort out nearly all of them
+   inside the join. While those pairs are very many, further pivots come first.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +31,14 @@ SHINGLE = 5
 PERCENT = 75
 #: A pair of similarity 0.75 shares no band with probability (1 - 0.75^5)^40 = 2e-5.
 BANDS, ROWS = 40, 5
-#: Signatures agreeing in fewer than this share are dropped: five standard deviations
-#: below 0.75 for BANDS * ROWS minima.
-LEAST_AGREEMENT = 0.60
+#: Signatures agreeing in fewer than this share are dropped: four standard deviations
+#: below 0.75 for BANDS * ROWS minima, which a link fails with probability 3e-5.
+LEAST_AGREEMENT = 0.6275
+#: Lowest bits of the first BITS minima; similar pairs differ in (1 - 0.75) / 2 of them,
+#: and in more than MOST_DIFFERING, four standard deviations beyond, with probability 3e-5.
+BITS, MOST_DIFFERING = 192, 42
 #: A further pivot is taken while the pairs left across components exceed this many a member.
-PAIRS_A_MEMBER = 4
+PAIRS_A_MEMBER = 2000
 MAX_PIVOTS = 8
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -93,23 +98,23 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, n_shingles, digest of the set, signature (16 bits a minimum), band keys."""
-    schema = pa.schema([("id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("sig", pa.binary()), ("bands", pa.list_(pa.int64()))])
+    schema = pa.schema([("id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("sig", pa.binary()), ("bits", pa.list_(pa.int64())), ("bands", pa.list_(pa.int64()))])
 
     def one(text: str | None) -> tuple:
         s = shingle_set(text)
         if not len(s):
-            return 0, None, None, None
+            return 0, None, None, None, None
         sig = signature(s)
-        return len(s), xxhash.xxh3_128_digest(s.tobytes()), sig.astype(np.uint16).tobytes(), band_keys(sig)
+        return len(s), xxhash.xxh3_128_digest(s.tobytes()), sig.astype(np.uint16).tobytes(), np.packbits(sig[:BITS] & 1).view(np.int64), band_keys(sig)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in (whole.slice(i, 500) for i in range(0, whole.num_rows, 500)):
-                n, digest, sig, bands = zip(*map(one, b.column(1).to_pylist()), strict=True)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], schema=schema)
+                n, digest, sig, bits, bands = zip(*map(one, b.column(1).to_pylist()), strict=True)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary()), pa.array(bits, pa.list_(pa.int64())), pa.array(bands, pa.list_(pa.int64()))], schema=schema)
 
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return src.mapInArrow(run, "id long, n_shingles long, digest binary, sig binary, bands array<bigint>")
+    return src.mapInArrow(run, "id long, n_shingles long, digest binary, sig binary, bits array<bigint>, bands array<bigint>")
 
 
 def _agreeing(pairs: DataFrame) -> DataFrame:
@@ -127,16 +132,17 @@ def _agreeing(pairs: DataFrame) -> DataFrame:
 def _linked(pairs: DataFrame) -> DataFrame:
     """Pairs (a, b) whose full shingle sets (of text_a, text_b) are similar enough."""
 
-    def alike(x: str, y: str) -> bool:
-        s, t = shingle_set(x), shingle_set(y)
+    def alike(x: str, y: str, kept) -> bool:
+        s, t = kept(x), kept(y)
         if not len(s) or not len(t):
             return False
         both = len(np.intersect1d(s, t, assume_unique=True))
         return 100 * both >= PERCENT * (len(s) + len(t) - both)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = lru_cache(2000)(shingle_set)  # a pivot's or a group's texts come again and again
         for x in batches:
-            keep = [alike(s, t) for s, t in zip(x.column(2).to_pylist(), x.column(3).to_pylist(), strict=True)]
+            keep = [alike(s, t, kept) for s, t in zip(x.column(2).to_pylist(), x.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([x.column(0), x.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
@@ -144,12 +150,24 @@ def _linked(pairs: DataFrame) -> DataFrame:
 
 def _confirmed(pairs: DataFrame, sigs: DataFrame, texts: DataFrame) -> DataFrame:
     """Candidate pairs (a, b), a and b classes, that signatures and full sets confirm."""
-    x = pairs.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("sig_a")), "a").join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("sig_b")), "b")
+    # merge joins throughout: none of these tables has a bound, and a hot pivot's rows can be split
+    x = pairs.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("sig_a")).hint("merge"), "a").join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("sig_b")).hint("merge"), "b")
     near = _agreeing(x)
-    y = near.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+    y = near.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b")
     return _linked(y)
 
 
+def _across(left: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a bucket's members in different components that can be similar enough:
+    sets of like size, signatures of like bits."""
+    one = left.select("bucket", F.col("id").alias("a"), F.col("component").alias("c_a"), F.col("n_shingles").alias("n_a"), F.col("bits").alias("bits_a"))
+    two = left.select("bucket", F.col("id").alias("b"), F.col("component").alias("c_b"), F.col("n_shingles").alias("n_b"), F.col("bits").alias("bits_b"))
+    differing = sum((F.bit_count(F.get("bits_a", F.lit(i)).bitwiseXOR(F.get("bits_b", F.lit(i)))) for i in range(BITS // 64)), F.lit(0))
+    alike = (100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")) & (differing <= MOST_DIFFERING)
+    same = one.bucket == two.bucket
+    return one.join(two.hint("merge"), same & (F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & alike).select("a", "b")
+
+
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, n_shingles, component_id (least id reachable over links,
     itself included), kept (id = component_id).
@@ -169,54 +187,49 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     followers = copies.where(F.col("id") != F.col("rep")).select("id").distinct()
     reps = real.join(followers, "id", "left_anti")
 
-    keys = reps.select("id", F.explode("bands").alias("bucket")).distinct()
+    keys = reps.select("id", F.explode("bands").alias("bucket"))
     sizes = keys.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
     members = scratch.save(keys.join(sizes, "bucket"), "members")
-    company = members.groupBy("id").agg(F.sum("n").alias("company"))
+    company = scratch.save(members.groupBy("id").agg(F.sum("n").alias("company")), "company")
+    light = real.select("id", "n_shingles", "bits").join(company, "id").dropDuplicates(["id"])
     # what is left to compare: members of each bucket with their company and component
-    left = scratch.save(members.join(company, "id").select("bucket", "id", "company", F.col("id").alias("component")), "left0")
-
-    near = scratch.save(company.select("id"), "near")
-    sigs = scratch.save(real.join(near, "id", "left_semi").select("id", "sig").dropDuplicates(["id"]), "sigs")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(near, "id", "left_semi").dropDuplicates(["id"])
-    texts = scratch.save(texts, "texts")
+    left = scratch.save(members.select("bucket", "id").join(light, "id").withColumn("component", F.col("id")), "left0")
+    near = company.select("id")
+    sigs = scratch.save(real.select("id", "sig").join(near, "id", "left_semi").dropDuplicates(["id"]), "sigs")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    texts = scratch.save(texts.join(near.hint("merge"), "id", "left_semi").dropDuplicates(["id"]), "texts")
     scratch.drop("members")
 
-    links = None  # confirmed pairs of classes
-    component = None
+    component = real.select("id", F.col("id").alias("component")).where(F.lit(False))
     for turn in range(MAX_PIVOTS + 1):
-        rows = left.count()
-        if not rows:
-            break
         groups = left.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("c"))
-        pairs_left = groups.groupBy("bucket").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q")).agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2)).first()[0] or 0
-        last = turn == MAX_PIVOTS or pairs_left <= PAIRS_A_MEMBER * rows
+        groups = groups.groupBy("bucket").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"))
+        rows, pairs_left = groups.agg(F.sum("s"), F.sum((F.col("s") * F.col("s") - F.col("q")) / 2)).first()
+        if not pairs_left:
+            break
+        last = turn == MAX_PIVOTS or turn > 0 and pairs_left <= PAIRS_A_MEMBER * rows
         if last:
-            o = left.select("bucket", F.col("id").alias("b"), F.col("component").alias("other"))
-            pairs = left.select("bucket", F.col("id").alias("a"), "component").join(o, "bucket").where((F.col("a") < F.col("b")) & (F.col("component") != F.col("other")))
+            pairs = _across(left)
         else:
             pivot = left.groupBy("bucket").agg(F.max(F.struct("company", -F.col("id"), "component")).alias("p"))
-            pivot = pivot.select("bucket", (-F.col("p.col2")).alias("b"), F.col("p.component").alias("other"))
-            pivot = scratch.save(pivot, f"pivot{turn}")
-            pairs = left.join(pivot, "bucket").select(F.col("id").alias("a"), "b", "component", "other").where(F.col("component") != F.col("other"))
+            pivot = scratch.save(pivot.select("bucket", (-F.col("p.col2")).alias("b"), F.col("p.component").alias("other")), f"pivot{turn}")
+            pairs = left.join(pivot, "bucket").where(F.col("component") != F.col("other")).select(F.col("id").alias("a"), "b")
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         found = scratch.save(_confirmed(pairs, sigs, texts), f"found{turn}")
-        links = found if links is None else links.unionByName(found)
-        component = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch, f"cc{turn}_")
+        # the components so far stand for their links
+        links = component.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(found.select(F.col("a").alias("u"), F.col("b").alias("v")))
+        component = connected_components(links, scratch, f"cc{turn}_")
         if last:
             break
         # pivots have met every other component of their bucket; buckets of one component are done
         now = left.drop("component").join(pivot.select("bucket", F.col("b").alias("done")), "bucket").where(F.col("id") != F.col("done")).drop("done")
-        now = now.join(component, "id", "left").select("bucket", "id", "company", F.coalesce("component", "id").alias("component"))
-        now = scratch.save(now, f"now{turn}")
+        now = scratch.save(now.join(component, "id", "left").withColumn("component", F.coalesce("component", "id")), f"now{turn}")
         mixed = now.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where(F.col("lo") != F.col("hi")).select("bucket")
         left = scratch.save(now.join(mixed, "bucket", "left_semi"), f"left{turn + 1}")
         scratch.drop(f"now{turn}", f"left{turn}")
     scratch.drop("texts", "sigs")
 
     # id -> class -> component
-    if component is None:
-        component = real.select("id", F.col("id").alias("component")).where(F.lit(False))
     member = copies.join(component, copies.rep == component.id, "left").select(copies.id, F.coalesce("component", "rep").alias("component")).groupBy("id").agg(F.min("component").alias("component"))
     alone = component.join(member.select("id"), "id", "left_anti")
     final = member.unionByName(alone).select(F.col("id").alias("node"), "component")
