@@ -217,3 +217,18 @@ def predict_language(docs: DataFrame, trees: ContextTrees, id_col: str = "doc_id
 
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return src.mapInArrow(run, "id long, lang_pred string, score double, bits_a_byte double").withColumnRenamed("id", id_col)
+
+
+def accepted(docs: DataFrame, trees: ContextTrees, text_col: str = "text", least: float = 0.5) -> DataFrame:
+    """The input rows, all columns unchanged, whose text has a predicted language of a
+    posterior of `least` or more. Rows of null or letterless texts go."""
+    shared = docs.sparkSession.sparkContext.broadcast(trees)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in (whole.slice(i, 500) for i in range(0, whole.num_rows, 500)):
+                lang, score, _ = identify(shared.value, b.column(at).to_pylist())
+                yield b.filter(pa.array([x != "und" and s >= least for x, s in zip(lang, score, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

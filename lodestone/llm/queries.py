@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import decontam, html_region, minhash, ppm, quality, sampled_pieces, templates, textcnn, url_rules
+from lodestone.llm import decontam, html_region, lbl, minhash, ppm, quality, sampled_pieces, templates, textcnn, url_rules
 from lodestone.llm.common import crc_mod, table
 
 #: The rule list of op6.
@@ -45,6 +45,13 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(table(spark, sf_dir, "pages"), rules)
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probability of every document, by a model that never saw the held-out fifth."""
+    out = lbl.score_texts(table(spark, sf_dir, "documents"), crc_mod("doc_id", 5) != 1)
+    held_out = F.coalesce(crc_mod("doc_id", 5) == 1, F.lit(False))
+    return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, by a classifier that never saw the held-out fifth's labels."""
     docs = table(spark, sf_dir, "documents")
@@ -80,6 +87,7 @@ QUERIES = {
     "op4_decontamination": op4_decontamination,
     "op5_line_dedup": op5_line_dedup,
     "op6_url_filter": op6_url_filter,
+    "op7_lm_scoring": op7_lm_scoring,
     "op8_toxicity": op8_toxicity,
     "op9_language_id": op9_language_id,
     "op10_sampled_pieces": op10_sampled_pieces,
