@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.common import Scratch
+
 #: An overlap counts if NEED of WINDOW consecutive aligned words are equal.
 WINDOW, NEED = 12, 10
 #: Whichever two of twelve positions differ, one of these fits between them somewhere.
@@ -64,6 +66,7 @@ def find_overlaps(docs: DataFrame, bench: DataFrame, text_col: str = "text", ite
     hashed = texts.select("key", F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("h"))
     places = hashed.select("key", F.inline(_seeds("h", F.size("h"), short)))
     hits = places.join(seeds, "seed").select("key", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct()
+    hits = Scratch(docs.sparkSession, "decontam").save(hits, "hits")  # read twice below
 
     held = texts.join(hits.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"]).select("key", words(F.col("text")).alias("w"))
     laid = hits.join(held, "key").join(items, "item_id")
