@@ -32,22 +32,38 @@ COPY_PCT = 80
 FIELD = "<*>"
 
 
-def _tokens(line: Column) -> Column:
-    found = F.filter(F.split(line, "[\\x20\\x09-\\x0D]+"), lambda t: t != "")
-    return F.transform(found, lambda t: F.when(t.rlike("[0-9]"), F.lit(FIELD)).otherwise(t))
+def _key(text: Column) -> Column:
+    """16 bytes that stand for a text."""
+    return F.unhex(F.md5(text.cast("binary")))
+
+
+def _masked(line: Column) -> Column:
+    """The line's tokens joined by one space, those with a digit as FIELD.
+
+    Most lines need neither step, so each is tested for what the step would change.
+    """
+    other = F.lit(False)
+    for c in ("\t", "\x0b", "\f", "\r", "  "):
+        other = other | F.contains(line, F.lit(c))
+    spaced = F.trim(F.when(other, F.regexp_replace(line, "[\\x20\\x09-\\x0D]+", " ")).otherwise(line))
+    return F.when(spaced.rlike("[0-9]"), F.regexp_replace(spaced, "[^ ]*[0-9][^ ]*", FIELD)).otherwise(spaced)
 
 
 def _needed(n: Column) -> Column:
     return F.when(n >= LONG, F.lit(MIN_DOCS)).otherwise(F.lit(SHORT_DOCS))
 
 
+def _texts(docs: DataFrame, text_col: str) -> DataFrame:
+    return docs.select(F.col(text_col).cast("string").alias("text")).where(F.col("text").isNotNull()).select(_key(F.col("text")).alias("key"), "text")
+
+
 def _lines(docs: DataFrame, text_col: str) -> DataFrame:
-    """key (md5 of the text), pos, n, leaf, body (hash of the masked line), tokens of every
-    line of MIN_TOKENS tokens or more."""
-    src = docs.select(F.col(text_col).cast("string").alias("text")).where(F.col("text").isNotNull())
-    rows = src.select(F.md5(F.col("text").cast("binary")).alias("key"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    rows = rows.select("key", "pos", _tokens(F.col("line")).alias("tokens")).withColumn("n", F.size("tokens")).where(F.col("n") >= MIN_TOKENS)
-    return rows.select("key", "pos", "n", F.xxhash64("n", F.slice("tokens", 1, DEPTH)).alias("leaf"), F.xxhash64("n", "tokens").alias("body"), "tokens")
+    """key, pos, n (tokens), leaf, body (hash of the masked line) of every line of
+    MIN_TOKENS tokens or more."""
+    rows = _texts(docs, text_col).select("key", F.posexplode(F.split("text", "\n")).alias("pos", "line")).select("key", "pos", _masked(F.col("line")).alias("m"))
+    n = F.when(F.col("m") == "", 0).otherwise(F.length("m") - F.length(F.replace("m", F.lit(" "), F.lit(""))) + 1)
+    rows = rows.withColumn("n", n).where(F.col("n") >= MIN_TOKENS)
+    return rows.select("key", "pos", "n", F.xxhash64("n", F.substring_index("m", " ", DEPTH)).alias("leaf"), F.xxhash64("n", "m").alias("body"))
 
 
 def recurring_lines(docs: DataFrame, scratch: Scratch, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -57,15 +73,18 @@ def recurring_lines(docs: DataFrame, scratch: Scratch, text_col: str = "text") -
     (documents of different text with this very line) for every recurring line.
     places: key, pos, n of every occurrence of one.
     """
-    lines = _lines(docs, text_col)
+    where = scratch.save(_lines(docs, text_col), "where")
     # pairs (line, document), each once, so that counts below are counts of documents
-    where = scratch.save(lines.select("leaf", "body", "n", "key", "pos"), "where")
     support = where.select("leaf", "n", "key").distinct().groupBy("leaf", "n").agg(F.count(F.lit(1)).alias("s")).where(F.col("s") >= _needed(F.col("n"))).select("leaf")
-    weight = where.select("leaf", "body", "key").distinct().groupBy("leaf", "body").agg(F.count(F.lit(1)).alias("n_docs"))
-    weight = scratch.save(weight.join(support, "leaf", "left_semi"), "weight")
-    # every distinct line of the leaves in question, with its tokens, once
-    distinct = lines.select("leaf", "body", "n", "tokens").join(weight.select("body").distinct(), "body", "left_semi").dropDuplicates(["leaf", "body"])
-    distinct = scratch.save(distinct.join(weight, ["leaf", "body"]), "distinct")
+    once = where.join(support, "leaf", "left_semi").groupBy("leaf", "body", "key").agg(F.min("pos").alias("pos"), F.first("n").alias("n"))
+    weight = once.groupBy("leaf", "body").agg(F.count(F.lit(1)).alias("n_docs"), F.min(F.struct("key", "pos")).alias("at"), F.first("n").alias("n"))
+    weight = scratch.save(weight, "weight")
+    # the tokens of every distinct line of the leaves in question, from one text that has it
+    wanted = weight.select("leaf", "body", "n", "n_docs", F.col("at.key").alias("key"), F.col("at.pos").alias("pos"))
+    held = wanted.groupBy("key").agg(F.collect_list(F.struct("leaf", "body", "n", "n_docs", "pos")).alias("found"))  # at most a text's lines
+    texts = _texts(docs, text_col).join(held.hint("merge"), "key").dropDuplicates(["key"]).withColumn("lines", F.split("text", "\n"))
+    distinct = texts.select("lines", F.explode("found").alias("f")).select("f.leaf", "f.body", "f.n", "f.n_docs", F.split(_masked(F.get("lines", F.col("f.pos"))), " ").alias("tokens"))
+    distinct = scratch.save(distinct, "distinct")
     each = distinct.select("leaf", "body", "n", "n_docs", F.posexplode("tokens").alias("p", "token"))
     constant = each.groupBy("leaf", "n", "p", "token").agg(F.sum("n_docs").alias("s")).where(F.col("s") >= _needed(F.col("n"))).select("leaf", "p", "token", F.lit(True).alias("fixed"))
     marked = each.join(constant, ["leaf", "p", "token"], "left")
@@ -93,10 +112,10 @@ def drop_recurring_lines(docs: DataFrame, text_col: str = "text") -> DataFrame:
     found = scratch.save(places.groupBy("key").agg(F.sort_array(F.collect_set("pos")).alias("gone"), F.sum("n").alias("words_gone")), "found")
     key, gone, total = "__line_key", "__line_gone", "__line_words"
     text = F.col(text_col).cast("string")
-    rows = docs.withColumn(key, F.md5(text.cast("binary")))
-    out = rows.join(found.select(F.col("key").alias(key), F.col("gone").alias(gone), F.col("words_gone").alias(total)), key, "left")
+    rows = docs.withColumn(key, _key(text))
+    out = rows.join(found.select(F.col("key").alias(key), F.col("gone").alias(gone), F.col("words_gone").alias(total)).hint("merge"), key, "left")
     n_words = F.size(F.filter(F.split(text, "[\\x20\\x09-\\x0D]+"), lambda w: w != ""))
-    clear = F.col(gone).isNotNull() & (100 * F.col(total) < COPY_PCT * n_words)
+    clear = F.when(F.col(gone).isNull(), F.lit(False)).otherwise(100 * F.col(total) < COPY_PCT * n_words)
     kept = F.array_join(F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains(F.col(gone), i)), "\n")
     out = out.withColumns({
         "n_lines": F.when(text.isNull(), 0).otherwise(F.size(F.split(text, "\n"))).cast("long"),
