@@ -42,7 +42,7 @@ SHARPNESS = 1.0
 #: Log-weight of a byte piece, below every other piece's.
 BYTE_WEIGHT = -11.0
 #: Lattice nodes that a worker keeps for reuse before it starts afresh.
-CACHE_NODES = 800_000
+CACHE_NODES = 1_600_000
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _CHUNK = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
@@ -124,7 +124,17 @@ class Lattices:
         ids = np.flatnonzero(vocab.usable)
         self.longest = max(len(vocab.pieces[i]) for i in ids)
         self.ids = ids
-        self.table = KeyTable(np.concatenate([self._hashes(np.frombuffer(vocab.pieces[i].encode("utf-32-le"), np.uint32), np.array([0]), len(vocab.pieces[i])) for i in ids]))
+        # hashes of all pieces, those of one length together
+        size = np.array([len(vocab.pieces[i]) for i in ids])
+        keys = np.zeros(len(ids), np.uint64)
+        for n in np.unique(size):
+            mine = np.flatnonzero(size == n)
+            chars = np.frombuffer("".join(vocab.pieces[i] for i in ids[mine]).encode("utf-32-le"), np.uint32).reshape(-1, n)
+            run = np.zeros(len(mine), np.uint64)
+            for k in range(n):
+                run = run * _BASE + chars[:, k].astype(np.uint64) + np.uint64(1)
+            keys[mine] = _mix(run + np.uint64(n))
+        self.table = KeyTable(keys)
         narrow = len(vocab.pieces) < 1 << 15
         self.cum = np.empty((CACHE_NODES, self.longest), np.float32)
         self.prob = np.empty((CACHE_NODES, self.longest), np.float32)
@@ -136,13 +146,6 @@ class Lattices:
         self.used = 0
         self.bytes: dict[int, str] = {}
 
-    def _hashes(self, chars: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
-        """Hashes of the n characters from each position in `at`."""
-        out = np.zeros(len(at), np.uint64)
-        for k in range(n):
-            out = out * _BASE + chars[at + k].astype(np.uint64) + np.uint64(1)
-        return _mix(out + np.uint64(n))
-
     def add(self, words: list[str]) -> None:
         """Builds the lattices of words not seen before, a few thousand at a time."""
         need = self.used + sum(map(len, words))
@@ -402,24 +405,23 @@ def decode(vocab: Vocabulary, ids) -> str:
     spaced, value = _decoded(vocab)
     ids = np.asarray(ids)
     at = np.flatnonzero(value[ids] >= 0)
-    names = spaced.__getitem__
     if not len(at):
-        text = "".join(map(names, ids.tolist()))
+        text = "".join(spaced[ids])
     else:
         out, last = [], 0
         for run in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1):
-            out += map(names, ids[last : run[0]].tolist())
+            out += spaced[ids[last : run[0]]].tolist()
             out.append(bytes(value[ids[run]].astype(np.uint8)).decode("utf-8", "replace"))
             last = run[-1] + 1
-        out += map(names, ids[last:].tolist())
+        out += spaced[ids[last:]].tolist()
         text = "".join(out)
     return text[1:] if text.startswith(" ") else text
 
 
-def _decoded(vocab: Vocabulary) -> tuple[list[str], np.ndarray]:
+def _decoded(vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """What each piece decodes to, and the byte of each byte piece (else -1)."""
     if not hasattr(vocab, "_spaced"):
-        vocab._spaced = [p.replace(SPACE, " ") for p in vocab.pieces]
+        vocab._spaced = np.array([p.replace(SPACE, " ") for p in vocab.pieces], object)
         vocab._values = np.full(len(vocab.pieces), -1, np.int16)
         vocab._values[vocab.byte_ids] = np.arange(256)
     return vocab._spaced, vocab._values
@@ -466,7 +468,9 @@ def encode_documents(docs: DataFrame, vocab: Vocabulary, id_col: str = "doc_id",
     shared = docs.sparkSession.sparkContext.broadcast(vocab)  # of the vocabulary's size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattices = Lattices(shared.value)
+        if not hasattr(shared.value, "_lattices"):  # a worker keeps its lattices from task to task
+            shared.value._lattices = Lattices(shared.value)
+        lattices = shared.value._lattices
         struct = pa.struct([("ids", pa.list_(pa.int32())), ("log_prob", pa.float64()), ("score", pa.float64()), ("inclusion", pa.float64())])
         for whole in batches:
             for b in (whole.slice(i, 250) for i in range(0, whole.num_rows, 250)):
