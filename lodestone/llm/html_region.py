@@ -125,11 +125,12 @@ class Weights:
             if not any(x.main for x in seen):
                 continue
             for x in seen:
-                inside = x.main and not x.aside
+                if x.aside:  # known to be no article text: it says nothing about its tags elsewhere
+                    continue
                 if x.text is None:
-                    tags[x.name][inside] += 1
+                    tags[x.name][x.main] += 1
                 else:
-                    words[x.name][inside] += len(x.text.split())
+                    words[x.name][x.main] += len(x.text.split())
         clip = lambda x, lo, hi: max(lo, min(hi, x))
         return cls(
             {k: clip(math.log((n[1] + 1) / (n[0] + 1)), 0.1, 3.0) for k, n in words.items()},
