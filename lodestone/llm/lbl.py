@@ -65,8 +65,8 @@ def token_counts(docs: DataFrame, text_col: str) -> DataFrame:
     """h, cls, c: hash, suffix class (-1: the end) and count of every token."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
+        for whole in batches:
+            for b in (whole.slice(i, 2500) for i in range(0, whole.num_rows, 2500)):
                 h, cls, place, _, _ = _hashed(b.column(0).to_pylist())
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(cls), pa.array(np.bincount(place, minlength=len(h)).astype(np.int64))], names=["h", "cls", "n"])
 
