@@ -20,7 +20,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import Scratch
@@ -34,9 +34,11 @@ BANDS, ROWS = 40, 5
 #: Signatures agreeing in fewer than this share are dropped: four standard deviations
 #: below 0.75 for BANDS * ROWS minima, which a link fails with probability 3e-5.
 LEAST_AGREEMENT = 0.6275
-#: Lowest bits of the first BITS minima; similar pairs differ in (1 - 0.75) / 2 of them,
-#: and in more than MOST_DIFFERING, four standard deviations beyond, with probability 3e-5.
-BITS, MOST_DIFFERING = 192, 42
+#: The lowest four bits of every minimum, sixteen to a long. A pair of similarity 0.75 differs
+#: in 15/16 of a quarter of them, and in more than MOST_DIFFERING, four standard deviations
+#: beyond, with probability 3e-5.
+LONGS, MOST_DIFFERING = -(-BANDS * ROWS // 16), 71
+LOW_BITS = 0x1111111111111111
 #: A further pivot is taken while the pairs left across components exceed this many a member.
 PAIRS_A_MEMBER = 2000
 MAX_PIVOTS = 8
@@ -91,6 +93,12 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return (least >> np.uint64(32)).astype(np.uint32)
 
 
+def four_bits(sig: np.ndarray) -> np.ndarray:
+    lanes = np.zeros(LONGS * 16, np.uint64)
+    lanes[: len(sig)] = sig & np.uint32(15)
+    return (lanes.reshape(LONGS, 16) << (np.uint64(4) * np.arange(16, dtype=np.uint64))).sum(axis=1, dtype=np.uint64).view(np.int64)
+
+
 def band_keys(sig: np.ndarray) -> np.ndarray:
     rows = sig.reshape(BANDS, ROWS).astype(np.uint64)
     return _finish((rows * _BAND).sum(axis=1, dtype=np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64) * _GOLD).view(np.int64)
@@ -105,7 +113,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         if not len(s):
             return 0, None, None, None, None
         sig = signature(s)
-        return len(s), xxhash.xxh3_128_digest(s.tobytes()), sig.astype(np.uint16).tobytes(), np.packbits(sig[:BITS] & 1).view(np.int64), band_keys(sig)
+        return len(s), xxhash.xxh3_128_digest(s.tobytes()), sig.astype(np.uint16).tobytes(), four_bits(sig), band_keys(sig)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -157,15 +165,44 @@ def _confirmed(pairs: DataFrame, sigs: DataFrame, texts: DataFrame) -> DataFrame
     return _linked(y)
 
 
+def _own_shingles(texts: DataFrame) -> DataFrame:
+    """(id, own): how many of a text's shingles no other text of these has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            for i, text in zip(x.column(0).to_pylist(), x.column(1).to_pylist(), strict=True):
+                s = shingle_set(text)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), i, np.int64)), pa.array(s.view(np.int64))], names=["id", "shingle"])
+
+    rows = texts.select("id", "text").mapInArrow(run, "id long, shingle long")
+    alone = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")).where(F.col("n") == 1)
+    return alone.groupBy("id").agg(F.count(F.lit(1)).alias("own"))
+
+
 def _across(left: DataFrame) -> DataFrame:
-    """Pairs (a, b) of a bucket's members in different components that can be similar enough:
-    sets of like size, signatures of like bits."""
-    one = left.select("bucket", F.col("id").alias("a"), F.col("component").alias("c_a"), F.col("n_shingles").alias("n_a"), F.col("bits").alias("bits_a"))
-    two = left.select("bucket", F.col("id").alias("b"), F.col("component").alias("c_b"), F.col("n_shingles").alias("n_b"), F.col("bits").alias("bits_b"))
-    differing = sum((F.bit_count(F.get("bits_a", F.lit(i)).bitwiseXOR(F.get("bits_b", F.lit(i)))) for i in range(BITS // 64)), F.lit(0))
-    alike = (100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")) & (differing <= MOST_DIFFERING)
+    """Pairs (a, b) of a bucket's members in different components that can be similar enough.
+
+    Two sets share at most what either has in common with any other member (the column
+    `common`); that bounds their similarity exactly, and rules out members of a group whose
+    changes are all their own. Signature bits rule out most of the rest.
+    """
+    one = left.select("bucket", F.col("id").alias("a"), F.col("component").alias("c_a"), F.col("n_shingles").alias("n_a"), F.col("common").alias("m_a"), F.col("bits").alias("bits_a"), F.col("bands").alias("bands_a"))
+    two = left.select("bucket", F.col("id").alias("b"), F.col("component").alias("c_b"), F.col("n_shingles").alias("n_b"), F.col("common").alias("m_b"), F.col("bits").alias("bits_b"), F.col("bands").alias("bands_b"))
+
+    # as a loop over the longs: unrolled, the compiled condition would be too long to be optimised
+    def lanes(x: Column, y: Column) -> Column:
+        z = x.bitwiseXOR(y)
+        z = z.bitwiseOR(F.shiftrightunsigned(z, 1))
+        return F.bit_count(z.bitwiseOR(F.shiftrightunsigned(z, 2)).bitwiseAND(F.lit(LOW_BITS)))
+
+    differing = F.aggregate(F.zip_with("bits_a", "bits_b", lanes), F.lit(0), lambda total, n: total + n)
+    both = F.least("m_a", "m_b")  # at most so many shingles in common
+    alike = (100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")) & (100 * both >= PERCENT * (F.col("n_a") + F.col("n_b") - both)) & (differing <= MOST_DIFFERING)
+    # a pair that shares several buckets is made in the first of them only: in the others of
+    # these it would be a repeat, and a bucket that is done has settled it
+    first = F.array_min(F.array_intersect("bands_a", "bands_b")) == one.bucket
     same = one.bucket == two.bucket
-    return one.join(two.hint("merge"), same & (F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & alike).select("a", "b")
+    return one.join(two.hint("merge"), same & (F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & alike & first).select("a", "b")
 
 
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -191,7 +228,7 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     sizes = keys.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
     members = scratch.save(keys.join(sizes, "bucket"), "members")
     company = scratch.save(members.groupBy("id").agg(F.sum("n").alias("company")), "company")
-    light = real.select("id", "n_shingles", "bits").join(company, "id").dropDuplicates(["id"])
+    light = real.select("id", "n_shingles").join(company, "id").dropDuplicates(["id"])
     # what is left to compare: members of each bucket with their company and component
     left = scratch.save(members.select("bucket", "id").join(light, "id").withColumn("component", F.col("id")), "left0")
     near = company.select("id")
@@ -209,7 +246,12 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
             break
         last = turn == MAX_PIVOTS or turn > 0 and pairs_left <= PAIRS_A_MEMBER * rows
         if last:
-            pairs = _across(left)
+            own = _own_shingles(texts.join(left.select("id").distinct().hint("merge"), "id", "left_semi"))
+            held = left.join(own, "id", "left").withColumn("common", F.col("n_shingles") - F.coalesce("own", F.lit(0)))
+            held = held.join(real.select("id", "bits", "bands").dropDuplicates(["id"]), "id")
+            # a member that shares too little with all others has no link
+            held = held.where(100 * F.col("common") >= PERCENT * F.col("n_shingles"))
+            pairs = _across(scratch.save(held, f"held{turn}"))
         else:
             pivot = left.groupBy("bucket").agg(F.max(F.struct("company", -F.col("id"), "component")).alias("p"))
             pivot = scratch.save(pivot.select("bucket", (-F.col("p.col2")).alias("b"), F.col("p.component").alias("other")), f"pivot{turn}")
