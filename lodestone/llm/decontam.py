@@ -68,7 +68,8 @@ def find_overlaps(docs: DataFrame, bench: DataFrame, text_col: str = "text", ite
     hits = places.join(seeds, "seed").select("key", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct()
     hits = Scratch(docs.sparkSession, "decontam").save(hits, "hits")  # read twice below
 
-    held = texts.join(hits.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"]).select("key", words(F.col("text")).alias("w"))
+    # a merge join at every size: the hits have no bound
+    held = texts.join(hits.select("key").distinct().hint("merge"), "key", "left_semi").dropDuplicates(["key"]).select("key", words(F.col("text")).alias("w"))
     laid = hits.join(held, "key").join(items, "item_id")
     same = F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda p: F.get("iw", p) == F.when(p + F.col("shift") >= 0, F.get("w", p + F.col("shift"))))
     laid = laid.select("key", "item_id", "shift", "n", same.alias("same"))
