@@ -33,14 +33,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document (that of the least id) of every near-duplicate component."""
     classes = minhash.near_duplicate_classes(docs, "doc_id", "text")
     gone = classes.where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that overlap with a test item."""
     found = decontam.find_overlaps(docs, table(spark, sf_dir, "benchmark"), "text").select("key").distinct()
     keyed = docs.withColumn("__key", F.md5(F.col("text").cast("string").cast("binary")))
-    return keyed.join(found, keyed["__key"] == found["key"], "left_anti").select(*docs.columns)
+    return keyed.join(found.hint("merge"), keyed["__key"] == found["key"], "left_anti").select(*docs.columns)
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
