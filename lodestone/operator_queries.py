@@ -248,6 +248,8 @@ ORACLES = {
     "disjoint_violations": "SELECT doc_id AS s, 'Good' AS a, 'Toxic' AS b FROM labels WHERE quality = 1 AND toxic = 1",
     "org_degrees": _W + "SELECT id, name, (SELECT count(*) FROM models WHERE developer_id = o.id) AS models, (SELECT count(*) FROM offers WHERE provider_id = o.id) AS offerings FROM orgs o",
     "search_facet": _W + "SELECT id, name, source_id FROM models WHERE developer_id = 'maker/7' AND contains(lower(name || ' ' || source_id || ' ' || family_name || ' ' || developer_id), 'ring') ORDER BY lower(name), source_id LIMIT 150",
+    "stats": _W + "SELECT 'models' AS name, count(*) AS rows FROM models UNION ALL SELECT 'families', count(DISTINCT family_id) FROM models UNION ALL SELECT 'organizations', count(*) FROM orgs UNION ALL SELECT 'offerings', count(*) FROM offers UNION ALL SELECT 'prices', count(*) FROM priced UNION ALL SELECT 'documents', count(*) FROM docs UNION ALL SELECT 'observations', (SELECT count(*) FROM facts) + (SELECT count(*) FROM capable) UNION ALL SELECT 'capabilities', 2 UNION ALL SELECT 'benchmarks', 2 UNION ALL SELECT 'evaluations', count(*) FROM evals UNION ALL SELECT 'external_links', count(*) FROM links",
+    "triple_counts": _W + "SELECT p, n FROM (SELECT unnest([{'p': 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type', 'n': (SELECT count(*) FROM models) + (SELECT count(*) FROM docs) + (SELECT count(*) FROM evals)}, {'p': 'http://www.w3.org/2000/01/rdf-schema#label', 'n': (SELECT count(*) FROM models)}, {'p': 'https://schema.org/url', 'n': (SELECT count(*) FROM docs)}, {'p': 'http://www.w3.org/ns/prov#wasDerivedFrom', 'n': (SELECT count(*) FROM evals)}], recursive := true)) UNION ALL SELECT 'urn:lodestone:vocab#' || unnest(['sourceId', 'description', 'belongsToFamily', 'developedBy']), (SELECT count(*) FROM models) UNION ALL SELECT 'urn:lodestone:vocab#' || unnest(['sourceKind', 'sha256', 'observedAt']), (SELECT count(*) FROM docs) UNION ALL SELECT 'urn:lodestone:vocab#' || unnest(['evaluatedModel', 'onBenchmark', 'score', 'scoreUnit', 'evaluationConfig', 'attribution']), (SELECT count(*) FROM evals)",
     "latest_fact": _W + "SELECT subject_id, predicate, id FROM (SELECT *, row_number() OVER (PARTITION BY subject_id, predicate ORDER BY observed_at DESC, id) AS n FROM facts) WHERE n = 1",
     "ntriples_export": _W + f"SELECT '<' || id || '> <{V}linkTarget> <' || target || '> .' AS line FROM links",
     "grouping_rollup": "SELECT l_returnflag, l_linestatus, count(*) AS n, sum(l_quantity::BIGINT)::BIGINT AS quantity FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)",
