@@ -52,6 +52,10 @@ class Compiler:
     def bgp(self, triples: list[Triple], df: DataFrame | None, domain: dict[str, set[str]]) -> DataFrame:
         stars: dict[Any, list[Triple]] = {}
         others = []
+        for t in triples:  # what a value must be narrows the scans of its own patterns
+            kinds = self.graph.target(t.p.value) if isinstance(t.p, Iri) and isinstance(t.o, Var) else None
+            if kinds:
+                domain[t.o.name] = domain.get(t.o.name, kinds) & kinds
         for t in triples:
             if isinstance(t.p, Iri):
                 stars.setdefault(t.s, []).append(t)

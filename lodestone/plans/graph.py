@@ -59,8 +59,9 @@ class Entity:
 
 
 class EntityGraph:
-    def __init__(self, entities: list[Entity]):
+    def __init__(self, entities: list[Entity], targets: dict[str, set[str]] | None = None):
         self.entities = {e.name: e for e in entities}
+        self._targets = targets or {}
         known = {p for e in entities for p in (*e.single, *e.multi)} | {c for e in entities for c in e.classes}
         self._local = {local_name(x): x for x in sorted(known)}
         self._known = known | {RDF_TYPE}
@@ -69,6 +70,10 @@ class EntityGraph:
         """A term of the graph by its IRI or, under another namespace, by its local name."""
         return iri if iri in self._known else self._local.get(local_name(iri), iri)
 
+    def target(self, iri: str) -> set[str] | None:
+        """Kinds that the values of a predicate are of, if that is known."""
+        return self._targets.get(self.resolve(iri))
+
     def star(self, subject: str, wanted: list[tuple[str, str]], domain: set[str] | None = None) -> tuple[DataFrame | None, set[str]]:
         """All patterns (predicate, column name) on one subject: rows with the columns
         `subject` and each name, and the kinds of subject that can match. One scan a kind."""
@@ -138,6 +143,9 @@ class TripleGraph:
     def resolve(self, iri: str) -> str:
         return iri
 
+    def target(self, iri: str) -> set[str] | None:
+        return None
+
     def star(self, subject: str, wanted: list[tuple[str, str]], domain: set[str] | None = None) -> tuple[DataFrame | None, set[str]]:
         df = None
         for p, name in wanted:

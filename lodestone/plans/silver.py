@@ -37,6 +37,8 @@ CLASSES = {
     "documents": "SourceDocument", "external_links": "ExternalLink",
 }
 RESOURCES = frozenset({VOCAB + x for x in "belongsToFamily developedBy offersModel hostedBy hasPrice aboutEntity observedProperty resourceValue evaluatedModel onBenchmark linkSubject linkTarget supportsCapability inputModality outputModality hasRepository relatedDocumentation".split()} | {SOURCE, URL, SAME_AS})
+#: The kind of entity that values of these predicates are.
+TARGETS = {VOCAB + p: {kind} for p, kind in (x.split(":") for x in "belongsToFamily:families developedBy:organizations offersModel:models hostedBy:organizations hasPrice:prices evaluatedModel:models onBenchmark:benchmarks supportsCapability:capabilities inputModality:modalities outputModality:modalities".split())}
 #: Organizations that are platforms: typed as a service and never as an organization.
 SERVICE = SCHEMA + "Service"
 
@@ -74,7 +76,7 @@ def silver_graph(tables: dict[str, DataFrame]) -> EntityGraph:
         if platform:
             df = df.withColumn("__class", F.when(F.col(platform), F.lit(SERVICE)).otherwise(F.lit(cls)))
         out.append(Entity(name, (cls, SERVICE) if platform else (cls,), df, "id", has, multi.get(name, {}), RESOURCES, "__class" if platform else None))
-    return EntityGraph(out)
+    return EntityGraph(out, TARGETS)
 
 
 # How the star schema's flags are read as categories of the catalog.
