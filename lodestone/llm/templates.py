@@ -2,9 +2,11 @@
 
 Lines are parsed by a tree of fixed depth: first by their number of tokens, then by their
 leading tokens, where a token with a digit counts as a variable field. A leaf holds lines
-that may come from one template. Within a leaf a position is constant where one token
-recurs in several documents; other positions are variable fields. A line that is constant
-in most positions is an instance of a recurring template and is dropped.
+that may come from one template. Within a leaf a word may be constant at a position where
+it recurs in several documents; other positions are variable fields. A line has two
+candidate templates: all such words of it, and of these the most frequent, as few as a
+template needs. A line is an instance of a recurring template, and is dropped, if several
+documents share all words of a candidate.
 
 A document that consists of such lines almost entirely is a copy of others, not a text
 with boilerplate: it is left whole, for near-duplicate detection to decide.
@@ -24,7 +26,7 @@ MIN_TOKENS = 3
 #: Documents (of different text) that a template needs: lines of LONG tokens and more
 #: need MIN_DOCS, shorter ones, which coincide more easily, SHORT_DOCS.
 LONG, MIN_DOCS, SHORT_DOCS = 8, 3, 20
-#: Percent of a line's positions that must be constant.
+#: Percent of a line's positions that must be constant words.
 CONSTANT_PCT = 80
 #: A document with this percent of its words in recurring lines is a copy and left whole.
 COPY_PCT = 80
@@ -69,9 +71,9 @@ def _lines(docs: DataFrame, text_col: str) -> DataFrame:
 def recurring_lines(docs: DataFrame, scratch: Scratch, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(templates, places).
 
-    templates: leaf, body, n, template (constant tokens, variable fields as <*>), n_docs
-    (documents of different text with this very line) for every recurring line.
-    places: key, pos, n of every occurrence of one.
+    templates: leaf, template (hash of the constant words and their positions), n, n_docs
+    (documents of different text with a line of it) for every recurring template.
+    places: key, pos, n, leaf, template of every line of one; the least template of a line.
     """
     where = scratch.save(_lines(docs, text_col), "where")
     # pairs (line, document), each once, so that counts below are counts of documents
@@ -86,13 +88,19 @@ def recurring_lines(docs: DataFrame, scratch: Scratch, text_col: str = "text") -
     distinct = texts.select("lines", F.explode("found").alias("f")).select("f.leaf", "f.body", "f.n", "f.n_docs", F.split(_masked(F.get("lines", F.col("f.pos"))), " ").alias("tokens"))
     distinct = scratch.save(distinct, "distinct")
     each = distinct.select("leaf", "body", "n", "n_docs", F.posexplode("tokens").alias("p", "token"))
-    constant = each.groupBy("leaf", "n", "p", "token").agg(F.sum("n_docs").alias("s")).where(F.col("s") >= _needed(F.col("n"))).select("leaf", "p", "token", F.lit(True).alias("fixed"))
-    marked = each.join(constant, ["leaf", "p", "token"], "left")
-    slot = F.struct("p", F.when(F.col("fixed"), F.col("token")).otherwise(F.lit(FIELD)).alias("t"))
-    templates = marked.groupBy("leaf", "body", "n", "n_docs").agg(F.count("fixed").alias("same"), F.array_sort(F.collect_list(slot)).alias("slots"))
-    templates = templates.where(100 * F.col("same") >= CONSTANT_PCT * F.col("n")).select("leaf", "body", "n", "n_docs", F.array_join(F.col("slots.t"), " ").alias("template"))
+    each = each.where(F.col("token") != FIELD)
+    constant = each.groupBy("leaf", "n", "p", "token").agg(F.sum("n_docs").alias("s")).where(F.col("s") >= _needed(F.col("n"))).select("leaf", "p", "token", "s")
+    marked = each.join(constant, ["leaf", "p", "token"])
+    # a line's constant words, the most frequent first; of these, as few as a template needs
+    least = F.ceil(F.col("n") * CONSTANT_PCT / 100).cast("int")
+    words = marked.groupBy("leaf", "body", "n").agg(F.array_sort(F.collect_list(F.struct((-F.col("s")).alias("s"), "p", "token"))).alias("words")).where(F.size("words") >= least)
+    hashed = lambda w: F.xxhash64(F.array_sort(F.transform(w, lambda x: F.struct(x["p"].alias("p"), x["token"].alias("token")))))
+    candidates = words.select("leaf", "body", F.explode(F.array_distinct(F.array(hashed(F.col("words")), hashed(F.slice("words", F.lit(1), least))))).alias("template"))
+    candidates = scratch.save(candidates, "candidates")
+    lines = scratch.save(where.join(candidates, ["leaf", "body"]).select("key", "pos", "n", "leaf", "template").distinct(), "lines")
+    templates = lines.select("leaf", "template", "n", "key").distinct().groupBy("leaf", "template", "n").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") >= _needed(F.col("n")))
     templates = scratch.save(templates, "templates")
-    places = where.join(templates.select("leaf", "body"), ["leaf", "body"], "left_semi").select("key", "pos", "n").distinct()
+    places = lines.join(templates.select("leaf", "template"), ["leaf", "template"], "left_semi").groupBy("key", "pos", "n", "leaf").agg(F.min("template").alias("template"))
     return templates, places
 
 

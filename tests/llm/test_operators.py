@@ -208,6 +208,30 @@ def test_line_templates(documents, texts):
     assert rows[70]["n_lines"] == 0 and rows[71]["n_lines"] == 1
 
 
+def lines_frame(spark, texts):
+    return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+
+def letters(rng, n):
+    """A line of n words without digits that no other line has."""
+    return " ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 9)) for _ in range(n))
+
+
+def test_line_templates_clean_lines_stay(spark):
+    """Rows of numbers, and lines of a large leaf that share each word but no template."""
+    rng = np.random.default_rng(6)
+    rows = [" ".join(str(x) for x in rng.integers(0, 10**6, 9)) for _ in range(12)]
+    # each word at its position in many lines, but no eight of ten positions alike in three
+    crowd = ["one two three " + " ".join("abcde"[int(k)] * 3 for k in rng.integers(0, 5, 7)) for _ in range(60)]
+    form = [f"Filed under the usual terms by {letters(rng, 1)} of our house" for _ in range(4)]
+    texts = [f"{rows[i % 12]}\n{crowd[i]}\n{form[i] if i < 4 else ''}\n{letters(rng, 60)}" for i in range(60)]
+    for i, r in enumerate(sorted(templates.drop_recurring_lines(lines_frame(spark, texts)).collect(), key=lambda r: r["doc_id"])):
+        lines = texts[i].split("\n")
+        alike = sum(sum(a == b for a, b in zip(crowd[i].split(), x.split(), strict=True)) >= 8 for x in crowd)
+        assert rows[i % 12] in r["text"] and (alike >= 3 or crowd[i] in r["text"])
+        assert r["n_dropped"] <= 2 and (i >= 4 or lines[2] not in r["text"])
+
+
 def test_line_templates_empty(documents):
     assert templates.drop_recurring_lines(documents.limit(0)).count() == 0
 
