@@ -8,8 +8,9 @@ candidate templates: all such words of it, and of these the most frequent, as fe
 template needs. A line is an instance of a recurring template, and is dropped, if several
 documents share all words of a candidate.
 
-A document that consists of such lines almost entirely is a copy of others, not a text
-with boilerplate: it is left whole, for near-duplicate detection to decide.
+A document of which little is left without such lines may be a copy of others whose
+content would be lost with them. Of all such documents, the first that has a template
+keeps its lines of that template; every other occurrence goes.
 """
 
 from __future__ import annotations
@@ -28,7 +29,8 @@ MIN_TOKENS = 3
 LONG, MIN_DOCS, SHORT_DOCS = 8, 3, 20
 #: Percent of a line's positions that must be constant words.
 CONSTANT_PCT = 80
-#: A document with this percent of its words in recurring lines is a copy and left whole.
+#: A document with this percent of its words in recurring lines keeps those that no
+#: earlier such document has.
 COPY_PCT = 80
 
 FIELD = "<*>"
@@ -60,24 +62,24 @@ def _texts(docs: DataFrame, text_col: str) -> DataFrame:
 
 
 def _lines(docs: DataFrame, text_col: str) -> DataFrame:
-    """key, pos, n (tokens), leaf, body (hash of the masked line) of every line of
-    MIN_TOKENS tokens or more."""
+    """key, pos, n (tokens), leaf, body (hash of the masked line) of every line with a token."""
     rows = _texts(docs, text_col).select("key", F.posexplode(F.split("text", "\n")).alias("pos", "line")).select("key", "pos", _masked(F.col("line")).alias("m"))
     n = F.when(F.col("m") == "", 0).otherwise(F.length("m") - F.length(F.replace("m", F.lit(" "), F.lit(""))) + 1)
-    rows = rows.withColumn("n", n).where(F.col("n") >= MIN_TOKENS)
+    rows = rows.withColumn("n", n).where(F.col("n") > 0)
     return rows.select("key", "pos", "n", F.xxhash64("n", F.substring_index("m", " ", DEPTH)).alias("leaf"), F.xxhash64("n", "m").alias("body"))
 
 
-def recurring_lines(docs: DataFrame, scratch: Scratch, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(templates, places).
+def recurring_lines(docs: DataFrame, scratch: Scratch, text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(templates, places, where).
 
     templates: leaf, template (hash of the constant words and their positions), n, n_docs
     (documents of different text with a line of it) for every recurring template.
-    places: key, pos, n, leaf, template of every line of one; the least template of a line.
+    places: key, pos, n, leaf, body, template of every line of one; the least template of a line.
+    where: key, pos, n, leaf, body of every line with a token, repeated for copies of a text.
     """
     where = scratch.save(_lines(docs, text_col), "where")
     # pairs (line, document), each once, so that counts below are counts of documents
-    support = where.select("leaf", "n", "key").distinct().groupBy("leaf", "n").agg(F.count(F.lit(1)).alias("s")).where(F.col("s") >= _needed(F.col("n"))).select("leaf")
+    support = where.where(F.col("n") >= MIN_TOKENS).select("leaf", "n", "key").distinct().groupBy("leaf", "n").agg(F.count(F.lit(1)).alias("s")).where(F.col("s") >= _needed(F.col("n"))).select("leaf")
     once = where.join(support, "leaf", "left_semi").groupBy("leaf", "body", "key").agg(F.min("pos").alias("pos"), F.first("n").alias("n"))
     weight = once.groupBy("leaf", "body").agg(F.count(F.lit(1)).alias("n_docs"), F.min(F.struct("key", "pos")).alias("at"), F.first("n").alias("n"))
     weight = scratch.save(weight, "weight")
@@ -97,37 +99,46 @@ def recurring_lines(docs: DataFrame, scratch: Scratch, text_col: str = "text") -
     hashed = lambda w: F.xxhash64(F.array_sort(F.transform(w, lambda x: F.struct(x["p"].alias("p"), x["token"].alias("token")))))
     candidates = words.select("leaf", "body", F.explode(F.array_distinct(F.array(hashed(F.col("words")), hashed(F.slice("words", F.lit(1), least))))).alias("template"))
     candidates = scratch.save(candidates, "candidates")
-    lines = scratch.save(where.join(candidates, ["leaf", "body"]).select("key", "pos", "n", "leaf", "template").distinct(), "lines")
+    lines = scratch.save(where.join(candidates, ["leaf", "body"]).select("key", "pos", "n", "leaf", "body", "template").distinct(), "lines")
     templates = lines.select("leaf", "template", "n", "key").distinct().groupBy("leaf", "template", "n").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") >= _needed(F.col("n")))
     templates = scratch.save(templates, "templates")
-    places = lines.join(templates.select("leaf", "template"), ["leaf", "template"], "left_semi").groupBy("key", "pos", "n", "leaf").agg(F.min("template").alias("template"))
-    return templates, places
+    places = lines.join(templates.select("leaf", "template"), ["leaf", "template"], "left_semi").groupBy("key", "pos", "n", "leaf", "body").agg(F.min("template").alias("template"))
+    return templates, places, where
 
 
 def drop_recurring_lines(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Every input row and column, with the text cleared of recurring lines, and the new
     columns n_lines and n_dropped.
 
-    Null texts stay null with 0 lines, the empty text has one (empty) line. A text all of
-    whose lines are dropped can't occur: it counts as a copy and stays whole. Copies of one
-    text count as one document and are treated alike. Empty tables give an empty result.
-    Input columns named n_lines or n_dropped are replaced.
+    A text with COPY_PCT percent or more of its words in recurring lines keeps the lines of
+    every template of which it is, among such texts, the first by its key (equal lines once);
+    a text may end up empty where others keep all it has. Null texts stay null with 0 lines, the empty text has
+    one (empty) line. Copies of one text count as one document and are treated alike. Empty
+    tables give an empty result. Input columns named n_lines or n_dropped are replaced.
     """
     scratch = Scratch(docs.sparkSession, "templates")
     docs = docs.drop("n_lines", "n_dropped")
-    _, places = recurring_lines(docs, scratch, text_col)
+    _, places, where = recurring_lines(docs, scratch, text_col)
+    places = scratch.save(places, "places")
+    some = places.groupBy("key").agg(F.sum("n").alias("words_gone"))
+    words = where.join(places.select("key").distinct(), "key", "left_semi").select("key", "pos", "n").distinct().groupBy("key").agg(F.sum("n").alias("words"))
+    little = some.join(words, "key").where(100 * F.col("words_gone") >= COPY_PCT * F.col("words")).select("key")
+    # the first of the texts of which little is left keeps a template's lines, equal ones once
+    held = places.join(little, "key", "left_semi")
+    first = held.groupBy("leaf", "template").agg(F.min("key").alias("key"))
+    kept = held.join(first, ["key", "leaf", "template"], "left_semi").groupBy("key", "leaf", "body").agg(F.min("pos").alias("pos"))
+    lost = places.join(kept.select("key", "pos"), ["key", "pos"], "left_anti")
     # one row a text with such lines: at most as many positions as it has lines
-    found = scratch.save(places.groupBy("key").agg(F.sort_array(F.collect_set("pos")).alias("gone"), F.sum("n").alias("words_gone")), "found")
-    key, gone, total = "__line_key", "__line_gone", "__line_words"
+    found = scratch.save(lost.groupBy("key").agg(F.sort_array(F.collect_set("pos")).alias("gone")), "found")
+    key, gone = "__line_key", "__line_gone"
     text = F.col(text_col).cast("string")
     rows = docs.withColumn(key, _key(text))
-    out = rows.join(found.select(F.col("key").alias(key), F.col("gone").alias(gone), F.col("words_gone").alias(total)).hint("merge"), key, "left")
-    n_words = F.size(F.filter(F.split(text, "[\\x20\\x09-\\x0D]+"), lambda w: w != ""))
-    clear = F.when(F.col(gone).isNull(), F.lit(False)).otherwise(100 * F.col(total) < COPY_PCT * n_words)
+    out = rows.join(found.select(F.col("key").alias(key), F.col("gone").alias(gone)).hint("merge"), key, "left")
+    clear = F.col(gone).isNotNull()
     kept = F.array_join(F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains(F.col(gone), i)), "\n")
     out = out.withColumns({
         "n_lines": F.when(text.isNull(), 0).otherwise(F.size(F.split(text, "\n"))).cast("long"),
         "n_dropped": F.when(clear, F.size(gone)).otherwise(0).cast("long"),
         text_col: F.when(clear, kept).otherwise(text),
     })
-    return out.drop(key, gone, total)
+    return out.drop(key, gone)

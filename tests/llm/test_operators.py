@@ -232,6 +232,19 @@ def test_line_templates_clean_lines_stay(spark):
         assert r["n_dropped"] <= 2 and (i >= 4 or lines[2] not in r["text"])
 
 
+def test_line_templates_mostly_shared(spark):
+    """Of texts that are four fifths shared passages or more, one keeps each passage."""
+    rng = np.random.default_rng(5)
+    shared, footer = [letters(rng, 42) for _ in range(2)], letters(rng, 10)
+    own = [letters(rng, 8) for _ in range(4)]
+    texts = [f"{shared[0]}\n{own[0]}", f"{shared[0]}\n{own[1]}", f"{shared[0]}\n{shared[1]}\n{own[2]}", f"{shared[1]}\n{own[3]}", f"{shared[1]}\n{footer}\n{footer}", f"{footer}\n{letters(rng, 60)}", f"{footer}\n{letters(rng, 70)}"]
+    out = {r["doc_id"]: r for r in templates.drop_recurring_lines(lines_frame(spark, texts)).collect()}
+    kept = collections.Counter(x for r in out.values() for x in r["text"].split("\n"))
+    assert [kept[x] for x in (*shared, footer)] == [1, 1, 1] and all(kept[x] == 1 for x in own)
+    assert footer not in out[5]["text"] and footer not in out[6]["text"]
+    assert sum(r["n_dropped"] for r in out.values()) == 2 + 2 + 3
+
+
 def test_line_templates_empty(documents):
     assert templates.drop_recurring_lines(documents.limit(0)).count() == 0
 
