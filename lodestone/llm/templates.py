@@ -10,7 +10,8 @@ documents share all words of a candidate.
 
 A document of which little is left without such lines may be a copy of others whose
 content would be lost with them. Of all such documents, the first that has a template
-keeps its lines of that template; every other occurrence goes.
+keeps its lines of that template; every other occurrence goes. Long passages stay in
+one document in any case.
 """
 
 from __future__ import annotations
@@ -25,8 +26,10 @@ DEPTH = 3
 #: Lines of fewer tokens than this are never templates: they repeat by chance.
 MIN_TOKENS = 3
 #: Documents (of different text) that a template needs: lines of LONG tokens and more
-#: need MIN_DOCS, shorter ones, which coincide more easily, SHORT_DOCS.
+#: need MIN_DOCS, shorter ones, which coincide more easily, SHORT_DOCS. PASSAGE tokens
+#: don't repeat by chance: PASSAGE_DOCS are enough.
 LONG, MIN_DOCS, SHORT_DOCS = 8, 3, 20
+PASSAGE, PASSAGE_DOCS = 50, 2
 #: Percent of a line's positions that must be constant words.
 CONSTANT_PCT = 80
 #: A document with this percent of its words in recurring lines keeps those that no
@@ -54,7 +57,7 @@ def _masked(line: Column) -> Column:
 
 
 def _needed(n: Column) -> Column:
-    return F.when(n >= LONG, F.lit(MIN_DOCS)).otherwise(F.lit(SHORT_DOCS))
+    return F.when(n >= PASSAGE, F.lit(PASSAGE_DOCS)).when(n >= LONG, F.lit(MIN_DOCS)).otherwise(F.lit(SHORT_DOCS))
 
 
 def _texts(docs: DataFrame, text_col: str) -> DataFrame:
@@ -112,7 +115,8 @@ def drop_recurring_lines(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     A text with COPY_PCT percent or more of its words in recurring lines keeps the lines of
     every template of which it is, among such texts, the first by its key (equal lines once);
-    a text may end up empty where others keep all it has. Null texts stay null with 0 lines, the empty text has
+    a text may end up empty where others keep all it has. Lines of PASSAGE tokens or more that
+    no such text has stay in the first text of all. Null texts stay null with 0 lines, the empty text has
     one (empty) line. Copies of one text count as one document and are treated alike. Empty
     tables give an empty result. Input columns named n_lines or n_dropped are replaced.
     """
@@ -123,9 +127,10 @@ def drop_recurring_lines(docs: DataFrame, text_col: str = "text") -> DataFrame:
     some = places.groupBy("key").agg(F.sum("n").alias("words_gone"))
     words = where.join(places.select("key").distinct(), "key", "left_semi").select("key", "pos", "n").distinct().groupBy("key").agg(F.sum("n").alias("words"))
     little = some.join(words, "key").where(100 * F.col("words_gone") >= COPY_PCT * F.col("words")).select("key")
-    # the first of the texts of which little is left keeps a template's lines, equal ones once
-    held = places.join(little, "key", "left_semi")
-    first = held.groupBy("leaf", "template").agg(F.min("key").alias("key"))
+    # the first of the texts of which little is left keeps a template's lines, equal ones once;
+    # passages are content, not boilerplate: where there is no such text, any first one keeps them
+    held = places.join(little.withColumn("little", F.lit(True)), "key", "left").where(F.col("little") | (F.col("n") >= PASSAGE))
+    first = held.groupBy("leaf", "template").agg(F.min(F.struct(F.col("little").isNull().alias("rest"), "key"))["key"].alias("key"))
     kept = held.join(first, ["key", "leaf", "template"], "left_semi").groupBy("key", "leaf", "body").agg(F.min("pos").alias("pos"))
     lost = places.join(kept.select("key", "pos"), ["key", "pos"], "left_anti")
     # one row a text with such lines: at most as many positions as it has lines

@@ -245,6 +245,15 @@ def test_line_templates_mostly_shared(spark):
     assert sum(r["n_dropped"] for r in out.values()) == 2 + 2 + 3
 
 
+def test_line_templates_passages_of_two(spark):
+    """A line of 50 words stays in one of two texts, one of 49 in both; copies of a text are one text."""
+    rng = np.random.default_rng(7)
+    passage, shorter, single = (letters(rng, n) for n in (50, 49, 60))
+    texts = [f"{letters(rng, 80)}\n{passage}\n{shorter}" for _ in range(2)] + [f"{letters(rng, 80)}\n{single}"] * 3
+    out = [r["text"] for r in templates.drop_recurring_lines(lines_frame(spark, texts)).collect()]
+    assert sum(passage in t for t in out) == 1 and sum(shorter in t for t in out) == 2 and sum(single in t for t in out) == 3
+
+
 def test_line_templates_empty(documents):
     assert templates.drop_recurring_lines(documents.limit(0)).count() == 0
 
