@@ -4,8 +4,9 @@ The vocabulary is open, so a token's probability has two factors: that of its cl
 the two classes before, by the neural model, and that of the token within its class, by
 counts. The most frequent words and the end of text are classes of their own; other words
 are classed by their last bytes. Counts and class sequences come from the whole training
-corpus. There are few enough contexts that one batched matrix product gives the normalised
-log-probabilities of every class after every context.
+corpus. The number of classes grows with the training tokens, and the model learns from every
+training token: workers run through their own tokens and their models are averaged. There are
+few enough contexts that one batched matrix product normalises every one of them.
 """
 
 from __future__ import annotations
@@ -23,13 +24,16 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import Scratch
 
-#: Classes: OWN words of their own, the end of text, SUFFIX classes of other words.
-OWN, SUFFIX = 95, 32
-CLASSES = OWN + 1 + SUFFIX
-END_CLASS, START = OWN, CLASSES  # START is a context only
+#: Classes: words of their own, the end of text, SUFFIX classes of other words; CLASSES is
+#: the least number. With the cube root of the tokens beyond BASE_TOKENS the words grow.
+SUFFIX, CLASSES, BASE_TOKENS = 32, 128, 1 << 20
 #: Words whose counts every worker holds: at most this many, the most frequent.
 HEAD = 1 << 18
-DIM, NOISE, BATCH, STEPS, RATE = 32, 64, 1024, 1500, 0.02
+DIM, NOISE, BATCH, RATE = 32, 64, 1024, 0.02
+#: Rounds of training, after each of which the workers' models are averaged. A round reads
+#: its own share of the training rows, in a small corpus again until LEAST_DRAWS are reached,
+#: or TASK_DRAWS in a task with few.
+ROUNDS, LEAST_DRAWS, TASK_DRAWS = 4, 1500 * BATCH, 128 * BATCH
 
 #: Stands for the end of text among the words' hashes.
 END = np.uint64(0x9AE16A3B2F90404F)
@@ -85,6 +89,17 @@ class Head:
     v: int
     #: log10 of the denominator of each class: its tokens plus half of its words and one unseen
     denominator: np.ndarray
+    #: Number of words that are classes of their own; the class of the end follows them.
+    own: int
+
+    @property
+    def classes(self) -> int:
+        return self.own + 1 + SUFFIX
+
+
+def own_words(tokens: int) -> int:
+    """Words that are classes of their own in a corpus of so many tokens."""
+    return int(CLASSES * max(1.0, tokens / BASE_TOKENS) ** (1 / 3)) - 1 - SUFFIX
 
 
 def head_of(counts: DataFrame) -> Head:
@@ -100,9 +115,10 @@ def head_of(counts: DataFrame) -> Head:
     rows = counts.where(F.col("c") >= (1 << cut)).toPandas() if cut < 63 else counts.limit(0).toPandas()
     h, c = rows["h"].to_numpy(np.int64).view(np.uint64), rows["c"].to_numpy(np.int64)
     suffix = rows["cls"].to_numpy(np.int64)
-    cls = np.where(suffix < 0, END_CLASS, END_CLASS + 1 + np.maximum(suffix, 0))
+    end = own_words(n)
+    cls = np.where(suffix < 0, end, end + 1 + np.maximum(suffix, 0))
     order = np.lexsort((h, -c))
-    own = order[suffix[order] >= 0][:OWN]
+    own = order[suffix[order] >= 0][:end]
     cls[own] = np.arange(len(own))
     # tokens and words of the suffix classes, without the words that are classes of their own
     tokens, kinds = np.zeros(SUFFIX), np.zeros(SUFFIX)
@@ -111,15 +127,15 @@ def head_of(counts: DataFrame) -> Head:
     np.subtract.at(tokens, suffix[own], c[own])
     np.subtract.at(kinds, suffix[own], 1)
     by_hash = np.argsort(h)
-    denominator = np.zeros(CLASSES)
-    denominator[END_CLASS + 1 :] = np.log10(tokens + 0.5 * (kinds + 1))
-    return Head(h[by_hash], c[by_hash], cls[by_hash], n, v, denominator)
+    denominator = np.zeros(end + 1 + SUFFIX)
+    denominator[end + 1 :] = np.log10(tokens + 0.5 * (kinds + 1))
+    return Head(h[by_hash], c[by_hash], cls[by_hash], n, v, denominator, end)
 
 
 def encoded(docs: DataFrame, head: Head, train: Column, id_col: str, text_col: str) -> DataFrame:
     """Each text as classes, with what its frequent words contribute and its rare words.
 
-    row (unique), id, train, n_tokens, classes (a byte a token), head_log (sum of
+    row (unique), id, train, n_tokens, classes (two bytes a token), head_log (sum of
     log10(c + 0.5) over frequent tokens), head_known, rest_log (the same without words that
     are classes of their own), class_log (sum of the classes' denominators), rare_h, rare_n.
     """
@@ -134,12 +150,12 @@ def encoded(docs: DataFrame, head: Head, train: Column, id_col: str, text_col: s
                 h, suffix, place, start, size = _hashed(b.column(2).to_pylist())
                 k = np.minimum(np.searchsorted(top.h, h), max(0, len(top.h) - 1))
                 known = top.h[k] == h if len(top.h) else np.zeros(len(h), bool)
-                cls = np.where(suffix < 0, END_CLASS, END_CLASS + 1 + suffix)
+                cls = np.where(suffix < 0, top.own, top.own + 1 + suffix)
                 log = np.zeros(len(h))
                 if len(top.h):
                     cls = np.where(known, top.cls[k], cls)
                     log = np.where(known, logs[k], 0.0)
-                token_cls = cls[place].astype(np.uint8)
+                token_cls = cls[place].astype(np.uint16)
                 token_log, token_known = log[place], known[place]
                 sums = lambda x, start=start: np.add.reduceat(x, start)
                 rare = np.flatnonzero(~token_known)
@@ -149,8 +165,8 @@ def encoded(docs: DataFrame, head: Head, train: Column, id_col: str, text_col: s
                 raw = token_cls.tobytes()
                 yield pa.RecordBatch.from_arrays([
                     pa.array(part + at + np.arange(len(size))), b.column(0), b.column(1), pa.array(size),
-                    pa.array([raw[a : a + m] for a, m in zip(start.tolist(), size.tolist(), strict=True)], pa.binary()),
-                    pa.array(sums(token_log)), pa.array(sums(token_known.astype(np.int64))), pa.array(sums(np.where(token_cls > END_CLASS, token_log, 0.0))),
+                    pa.array([raw[2 * a : 2 * (a + m)] for a, m in zip(start.tolist(), size.tolist(), strict=True)], pa.binary()),
+                    pa.array(sums(token_log)), pa.array(sums(token_known.astype(np.int64))), pa.array(sums(np.where(token_cls > top.own, token_log, 0.0))),
                     pa.array(sums(top.denominator[token_cls])),
                     pa.ListArray.from_arrays(offsets, pa.array(h[pairs[1]].view(np.int64))), pa.ListArray.from_arrays(offsets, pa.array(n.astype(np.int64))),
                 ], names=["row", "id", "train", "n_tokens", "classes", "head_log", "head_known", "rest_log", "class_log", "rare_h", "rare_n"])
@@ -160,25 +176,35 @@ def encoded(docs: DataFrame, head: Head, train: Column, id_col: str, text_col: s
     return src.mapInArrow(run, "row long, id long, train boolean, n_tokens long, classes binary, head_log double, head_known long, rest_log double, class_log double, rare_h array<bigint>, rare_n array<bigint>")
 
 
-def class_sequences(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Every (class before last, last class, class) of the corpus and its count: the cells
-    of a cube of fixed size, whatever the corpus."""
-    side = CLASSES + 1
+def sequences(parts: list[bytes], classes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Class before last, last class and class of every token of the texts, in order."""
+    lead = np.array([classes, classes], np.uint16).tobytes()  # the context before a text
+    flat = np.frombuffer(b"".join(lead + p for p in parts), np.uint16).astype(np.int64)
+    real = flat[2:] < classes
+    return flat[:-2][real], flat[1:-1][real], flat[2:][real]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cube = np.zeros(side * side * CLASSES, np.int64)
-        for b in batches:
-            parts = b.column(0).to_pylist()
-            if parts:
-                lead = bytes([START, START])
-                flat = np.frombuffer(b"".join(lead + p for p in parts), np.uint8).astype(np.int64)
-                key = (flat[:-2] * side + flat[1:-1]) * CLASSES + flat[2:]
-                cube += np.bincount(key[flat[2:] < CLASSES], minlength=len(cube))
-        cells = np.flatnonzero(cube)
-        yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(cube[cells])], names=["cell", "n"])
 
-    found = rows.select("classes").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas().sort_values("cell")
-    return found["cell"].to_numpy(np.int64), found["n"].to_numpy(np.int64)
+def unigrams(head: Head) -> np.ndarray:
+    """Tokens of every class."""
+    out = np.zeros(head.classes)
+    np.add.at(out, head.cls[head.cls <= head.own], head.count[head.cls <= head.own])
+    out[head.own + 1 :] = 10.0 ** head.denominator[head.own + 1 :]
+    return out
+
+
+class Adam:
+    """Steps of a model's parameters by running means of gradients and their squares."""
+
+    def __init__(self, model: LogBilinear):
+        self.params, self.t = model.params(), 0
+        self.mean, self.square = ([np.zeros_like(p) for p in self.params] for _ in range(2))
+
+    def step(self, gradients: list[np.ndarray], rate: float) -> None:
+        self.t += 1
+        for p, a, v, g in zip(self.params, self.mean, self.square, gradients, strict=True):
+            a += 0.1 * (g - a)
+            v += 0.001 * (g * g - v)
+            p -= rate * (a / (1 - 0.9**self.t)) / (np.sqrt(v / (1 - 0.999**self.t)) + 1e-9)
 
 
 @dataclass
@@ -191,54 +217,69 @@ class LogBilinear:
     b: np.ndarray
 
     @classmethod
-    def fit(cls, cells: np.ndarray, counts: np.ndarray, seed: int = 3, steps: int = STEPS) -> LogBilinear:
-        """Noise-contrastive estimation: class sequences are drawn by their counts over the
-        whole corpus, noise from the classes' frequencies."""
+    def start(cls, unigram: np.ndarray, seed: int = 3) -> LogBilinear:
         rng = np.random.default_rng(seed)
-        side = CLASSES + 1
-        ctx, target = cells // CLASSES, cells % CLASSES
-        first, second = ctx // side, ctx % side
-        unigram = np.bincount(target, counts, CLASSES) + 0.5
-        unigram /= unigram.sum()
-        m = cls(rng.normal(0, 0.1, (side, DIM)), [np.eye(DIM) * 0.5, np.eye(DIM) * 0.7], rng.normal(0, 0.1, (CLASSES, DIM)), np.log(unigram))
-        if not len(cells):
-            return m
-        total = np.cumsum(counts)
-        noise_cum = np.cumsum(unigram)
-        noise_log = np.log(unigram)
-        params = [m.r, m.mix[0], m.mix[1], m.q, m.b]
-        mean = [np.zeros_like(p) for p in params]
-        square = [np.zeros_like(p) for p in params]
-        for t in range(1, steps + 1):
-            pick = np.searchsorted(total, rng.integers(0, total[-1], BATCH), "right")
+        classes, share = len(unigram), (unigram + 0.5) / (unigram + 0.5).sum()
+        return cls(rng.normal(0, 0.1, (classes + 1, DIM)), [np.eye(DIM) * 0.5, np.eye(DIM) * 0.7], rng.normal(0, 0.1, (classes, DIM)), np.log(share))
+
+    @classmethod
+    def fit(cls, cells: np.ndarray, counts: np.ndarray, seed: int = 3, steps: int = 1500, classes: int = CLASSES) -> LogBilinear:
+        """A model of class sequences (numbered as cells of a cube) drawn by their counts."""
+        unigram = np.bincount(cells % classes, counts, classes)
+        m = cls.start(unigram, seed)
+        if len(cells):
+            rng = np.random.default_rng(seed)
+            pick = np.searchsorted(np.cumsum(counts), rng.integers(0, counts.sum(), steps * BATCH), "right")
+            ctx = cells[pick] // classes
+            m.learn(Adam(m), ctx // (classes + 1), ctx % (classes + 1), cells[pick] % classes, unigram, rng, 0.0, 1.0)
+        return m
+
+    def params(self) -> list[np.ndarray]:
+        return [self.r, self.mix[0], self.mix[1], self.q, self.b]
+
+    def learn(self, adam: Adam, first: np.ndarray, second: np.ndarray, target: np.ndarray, unigram: np.ndarray, rng: np.random.Generator, begin: float, end: float) -> None:
+        """Noise-contrastive estimation, one pass over the class sequences given in batches of
+        BATCH; noise comes from the classes' frequencies. `begin` and `end` place the pass in
+        the whole training, on which the rate depends."""
+        share = (unigram + 0.5) / (unigram + 0.5).sum()
+        noise_cum, noise_log = np.cumsum(share), np.log(share)
+        order = rng.permutation(len(target))
+        for k in range(0, len(order), BATCH):
+            pick = order[k : k + BATCH]
             i, j, w = first[pick], second[pick], target[pick]
-            noise = np.minimum(np.searchsorted(noise_cum, rng.random(NOISE)), CLASSES - 1)
-            ri, rj = m.r[i], m.r[j]
-            hidden = ri @ m.mix[0] + rj @ m.mix[1]
+            noise = np.minimum(np.searchsorted(noise_cum, rng.random(NOISE)), len(share) - 1)
+            ri, rj = self.r[i], self.r[j]
+            hidden = ri @ self.mix[0] + rj @ self.mix[1]
             # log-odds of data against NOISE draws of noise, scores taken as normalised
-            s_w = (hidden * m.q[w]).sum(axis=1) + m.b[w] - noise_log[w] - np.log(NOISE)
-            s_n = hidden @ m.q[noise].T + m.b[noise] - noise_log[noise] - np.log(NOISE)
-            g_w = (1 / (1 + np.exp(-np.clip(s_w, -30, 30))) - 1) / BATCH
-            g_n = 1 / (1 + np.exp(-np.clip(s_n, -30, 30))) / BATCH
-            g_q, g_b, g_r = np.zeros_like(m.q), np.zeros_like(m.b), np.zeros_like(m.r)
+            s_w = (hidden * self.q[w]).sum(axis=1) + self.b[w] - noise_log[w] - np.log(NOISE)
+            s_n = hidden @ self.q[noise].T + self.b[noise] - noise_log[noise] - np.log(NOISE)
+            g_w = (1 / (1 + np.exp(-np.clip(s_w, -30, 30))) - 1) / len(pick)
+            g_n = 1 / (1 + np.exp(-np.clip(s_n, -30, 30))) / len(pick)
+            g_q, g_b, g_r = np.zeros_like(self.q), np.zeros_like(self.b), np.zeros_like(self.r)
             np.add.at(g_q, w, g_w[:, None] * hidden)
             np.add.at(g_q, noise, g_n.T @ hidden)
             np.add.at(g_b, w, g_w)
             np.add.at(g_b, noise, g_n.sum(axis=0))
-            g_h = g_w[:, None] * m.q[w] + g_n @ m.q[noise]
-            np.add.at(g_r, i, g_h @ m.mix[0].T)
-            np.add.at(g_r, j, g_h @ m.mix[1].T)
-            rate = RATE * min(1.0, 2 * (1 - t / (steps + 1)))
-            for p, a, v, g in zip(params, mean, square, [g_r, ri.T @ g_h, rj.T @ g_h, g_q, g_b], strict=True):
-                a += 0.1 * (g - a)
-                v += 0.001 * (g * g - v)
-                p -= rate * (a / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
-        return m
+            g_h = g_w[:, None] * self.q[w] + g_n @ self.q[noise]
+            np.add.at(g_r, i, g_h @ self.mix[0].T)
+            np.add.at(g_r, j, g_h @ self.mix[1].T)
+            done = begin + (end - begin) * k / len(order)
+            adam.step([g_r, ri.T @ g_h, rj.T @ g_h, g_q, g_b], RATE * min(1.0, 2 * (1 - done) + 1e-3))
+
+    def log_normalisers(self) -> np.ndarray:
+        """Of every context, what its scores exceed log probabilities by, (side, side)."""
+        a, b = (self.r @ self.mix[0]).astype(np.float32), (self.r @ self.mix[1]).astype(np.float32)
+        out = np.empty((len(a), len(b)), np.float32)
+        for k, x in enumerate(a):
+            s = (x + b) @ self.q.T.astype(np.float32) + self.b.astype(np.float32)
+            top = s.max(axis=1)
+            out[k] = top + np.log(np.exp(s - top[:, None]).sum(axis=1))
+        return out
 
     def log10_probabilities(self) -> np.ndarray:
-        """log10 P(class | two classes before), (side, side, CLASSES): exactly normalised."""
+        """log10 P(class | two classes before), (side, side, classes): exactly normalised."""
         a, b = self.r @ self.mix[0], self.r @ self.mix[1]
-        out = np.empty((len(a), len(b), CLASSES), np.float32)
+        out = np.empty((len(a), len(b), len(self.q)), np.float32)
         for k, x in enumerate(a):
             s = (x + b) @ self.q.T + self.b
             s -= s.max(axis=1, keepdims=True)
@@ -247,6 +288,48 @@ class LogBilinear:
         return out
 
 
+def trained(rows: DataFrame, head: Head) -> tuple[LogBilinear, int]:
+    """The model after ROUNDS rounds over `rows`, and the training tokens it learned from.
+
+    In a round every task starts from the same model, runs over its share of rows and
+    returns its parameters; their mean by tokens is the next round's model. Together the
+    rounds draw every token once, or a multiple where a corpus or a task has few.
+    """
+    unigram = unigrams(head)
+    model, drawn = LogBilinear.start(unigram), 0
+    passes = max(1, -(-LEAST_DRAWS // max(1, head.n)))
+    for k in range(ROUNDS):
+        shared = rows.sparkSession.sparkContext.broadcast((model, unigram))
+
+        def run(batches: Iterator[pa.RecordBatch], k: int = k, shared=shared) -> Iterator[pa.RecordBatch]:
+            m, unigram = shared.value
+            m = LogBilinear(m.r.copy(), [x.copy() for x in m.mix], m.q.copy(), m.b.copy())
+            adam, n, rng = Adam(m), 0, np.random.default_rng((k, TaskContext.get().partitionId()))
+            for b in (whole.slice(i, 2500) for whole in batches for i in range(0, whole.num_rows, 2500)):
+                parts = b.column(0).to_pylist()
+                if parts:
+                    found = sequences(parts, len(unigram))
+                    again = passes if n else max(passes, -(-TASK_DRAWS // len(found[2])))
+                    for x in range(again):
+                        m.learn(adam, *found, unigram, rng, (k + x / again) / ROUNDS, (k + (x + 1) / again) / ROUNDS)
+                    n += len(found[2])
+            if n:
+                flat = np.concatenate([p.ravel() for p in m.params()])
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat * n), pa.array(np.full(len(flat), n))], names=["i", "x", "n"])
+
+        part = rows.where(F.pmod(F.xxhash64("row"), F.lit(ROUNDS)) == k).select("classes")
+        # a model's parameters, added up over tasks: rows by number of parameters, not by text
+        mean = part.mapInArrow(run, "i long, x double, n long").groupBy("i").agg(F.sum("x").alias("x"), F.sum("n").alias("n")).toPandas().sort_values("i")
+        if len(mean):
+            flat, at, out = (mean["x"] / mean["n"]).to_numpy(), 0, []
+            for p in model.params():
+                out.append(flat[at : at + p.size].reshape(p.shape))
+                at += p.size
+            model, drawn = LogBilinear(out[0], out[1:3], out[3], out[4]), drawn + int(mean["n"].iloc[0])
+        shared.unpersist()
+    return model, drawn
+
+
 def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, train, n_tokens, n_known, train_tokens, base_score (smoothed
     unigram), score (the model's log10 probability of the whole text).
@@ -262,20 +345,24 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     counts = scratch.save(token_counts(docs.where(train), text_col), "counts")
     head = head_of(counts)
     rows = scratch.save(encoded(docs, head, train, id_col, text_col), "rows")
-    model = LogBilinear.fit(*class_sequences(rows.where("train")))
-    shared = spark.sparkContext.broadcast(model)  # of fixed size
+    model, _ = trained(rows.where("train"), head)
+    # as many numbers as there are contexts and parameters
+    shared = spark.sparkContext.broadcast((model, model.log_normalisers()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value.log10_probabilities().reshape(-1)
-        side = CLASSES + 1
+        m, log_z = shared.value
+        left, right = (m.r @ m.mix[0]).astype(np.float32), (m.r @ m.mix[1]).astype(np.float32)
+        q, bias = m.q.astype(np.float32), m.b.astype(np.float32)
         for whole in batches:
             for b in (whole.slice(i, 500) for i in range(0, whole.num_rows, 500)):
                 parts = b.column(1).to_pylist()
-                flat = np.frombuffer(b"".join(bytes([START, START]) + p for p in parts), np.uint8).astype(np.int64)
-                real = flat[2:] < CLASSES
-                p = table.take(((flat[:-2] * side + flat[1:-1]) * CLASSES + flat[2:])[real])
-                size = np.array([len(x) for x in parts])
-                total = np.add.reduceat(p, np.cumsum(size) - size, dtype=np.float64)
+                i, j, w = sequences(parts, len(q))
+                p = np.empty(len(w), np.float32)
+                for a in range(0, len(w), 1 << 16):
+                    x, y, z = i[a : a + (1 << 16)], j[a : a + (1 << 16)], w[a : a + (1 << 16)]
+                    p[a : a + (1 << 16)] = np.einsum("ij,ij->i", left[x] + right[y], q[z]) + bias[z] - log_z[x, y]
+                size = np.array([len(x) // 2 for x in parts])
+                total = np.add.reduceat(p, np.cumsum(size) - size, dtype=np.float64) / np.log(10)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(total)], names=["row", "class_score"])
 
     # rare words: their counts are joined, one row a text and word

@@ -290,6 +290,25 @@ def test_language_model_is_normalised():
     assert np.allclose(p.sum(axis=2), 1, atol=1e-4)
 
 
+def test_language_model_learns_from_every_token(documents, spark):
+    """The draws, and the classes, grow with the training tokens."""
+    assert lbl.own_words(0) == 95 and lbl.own_words(8 << 20) == 223 < lbl.own_words(5 * 10**9)
+    rows = [(i, " ".join(f"w{(7 * i + k * k) % 50}" for k in range(4000))) for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    scratch = Scratch(spark, "test")
+    head = lbl.head_of(scratch.save(lbl.token_counts(docs, "text"), "counts"))
+    coded = scratch.save(lbl.encoded(docs, head, F.lit(True), "doc_id", "text"), "rows")
+    model, drawn = lbl.trained(coded, head)
+    assert drawn == head.n == 500 * 4001 and len(model.q) == head.classes > lbl.CLASSES
+    i, j, w = lbl.sequences([r["classes"] for r in coded.limit(20).collect()], head.classes)
+    p = model.log10_probabilities()[i, j, w]
+    unigram = np.log10(lbl.unigrams(head)[w] / head.n)
+    assert p.mean() > unigram.mean()
+    z = model.log_normalisers()[i, j]
+    s = ((model.r[i] @ model.mix[0] + model.r[j] @ model.mix[1]) * model.q[w]).sum(axis=1) + model.b[w]
+    assert np.allclose((s - z) / np.log(10), p, atol=1e-3)
+
+
 def test_toxicity_learns():
     rng = np.random.default_rng(4)
     vocab = [f"w{i}" for i in range(200)]
