@@ -31,13 +31,13 @@ SHINGLE = 5
 PERCENT = 75
 #: A pair of similarity 0.75 shares no band with probability (1 - 0.75^5)^40 = 2e-5.
 BANDS, ROWS = 40, 5
-#: Signatures agreeing in fewer than this share are dropped: four standard deviations
-#: below 0.75 for BANDS * ROWS minima, which a link fails with probability 3e-5.
-LEAST_AGREEMENT = 0.6275
+#: Signatures agreeing in fewer than this share are dropped: nearly five standard
+#: deviations below 0.75 for BANDS * ROWS minima, which a link fails with less than 2e-6.
+LEAST_AGREEMENT = 0.60
 #: The lowest four bits of every minimum, sixteen to a long. A pair of similarity 0.75 differs
-#: in 15/16 of a quarter of them, and in more than MOST_DIFFERING, four standard deviations
-#: beyond, with probability 3e-5.
-LONGS, MOST_DIFFERING = -(-BANDS * ROWS // 16), 71
+#: in 15/16 of a quarter of them, and in more than MOST_DIFFERING, five standard deviations
+#: beyond, with less than 2e-6.
+LONGS, MOST_DIFFERING = -(-BANDS * ROWS // 16), 77
 LOW_BITS = 0x1111111111111111
 #: A further pivot is taken while the pairs left across components exceed this many a member.
 PAIRS_A_MEMBER = 2000

@@ -79,6 +79,14 @@ def test_minhash(documents, texts):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in out.collect()} == brute_components(texts)
 
 
+def test_minhash_filters_lose_no_link():
+    """Each filter before the exact check fails a pair of similarity 0.75 with less than 2e-6."""
+    n = minhash.BANDS * minhash.ROWS
+    tail = lambda p, least: sum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(least, n + 1))
+    assert tail(0.25, n - math.ceil(minhash.LEAST_AGREEMENT * n) + 1) < 2e-6
+    assert tail(0.25 * 15 / 16, minhash.MOST_DIFFERING + 1) < 2e-6
+
+
 def test_minhash_pivots_reach_what_the_first_misses(spark, monkeypatch):
     """A chain: each text is like the next only."""
     monkeypatch.setattr(minhash, "PAIRS_A_MEMBER", 0)
