@@ -7,9 +7,11 @@
    and bucket, however large the bucket.
 3. Signatures drop clearly dissimilar pairs; the full shingle sets confirm the rest.
 4. Links give components (large-star, small-star). A bucket whose members lie in one
-   component is done. Of the others, all pairs across components are compared: set sizes
-   and 192 signature bits, which travel with the members, sort out nearly all of them
-   inside the join. While those pairs are very many, further pivots come first.
+   component is done. The members of the others meet again by their rarest shingles: of
+   two similar sets, each sorted by the shingles' frequency, the beginnings share one, and
+   what may follow it bounds their overlap exactly. Members of a large group whose changes
+   are their own share no such beginning, so the group's pairs are not made. While buckets
+   are very mixed, further pivots come first.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import Scratch
@@ -34,11 +36,6 @@ BANDS, ROWS = 40, 5
 #: Signatures agreeing in fewer than this share are dropped: nearly five standard
 #: deviations below 0.75 for BANDS * ROWS minima, which a link fails with less than 2e-6.
 LEAST_AGREEMENT = 0.60
-#: The lowest four bits of every minimum, sixteen to a long. A pair of similarity 0.75 differs
-#: in 15/16 of a quarter of them, and in more than MOST_DIFFERING, five standard deviations
-#: beyond, with less than 2e-6.
-LONGS, MOST_DIFFERING = -(-BANDS * ROWS // 16), 77
-LOW_BITS = 0x1111111111111111
 #: A further pivot is taken while the pairs left across components exceed this many a member.
 PAIRS_A_MEMBER = 2000
 MAX_PIVOTS = 8
@@ -93,12 +90,6 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return (least >> np.uint64(32)).astype(np.uint32)
 
 
-def four_bits(sig: np.ndarray) -> np.ndarray:
-    lanes = np.zeros(LONGS * 16, np.uint64)
-    lanes[: len(sig)] = sig & np.uint32(15)
-    return (lanes.reshape(LONGS, 16) << (np.uint64(4) * np.arange(16, dtype=np.uint64))).sum(axis=1, dtype=np.uint64).view(np.int64)
-
-
 def band_keys(sig: np.ndarray) -> np.ndarray:
     rows = sig.reshape(BANDS, ROWS).astype(np.uint64)
     return _finish((rows * _BAND).sum(axis=1, dtype=np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64) * _GOLD).view(np.int64)
@@ -106,23 +97,23 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, n_shingles, digest of the set, signature (16 bits a minimum), band keys."""
-    schema = pa.schema([("id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("sig", pa.binary()), ("bits", pa.list_(pa.int64())), ("bands", pa.list_(pa.int64()))])
+    schema = pa.schema([("id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("sig", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
     def one(text: str | None) -> tuple:
         s = shingle_set(text)
         if not len(s):
-            return 0, None, None, None, None
+            return 0, None, None, None
         sig = signature(s)
-        return len(s), xxhash.xxh3_128_digest(s.tobytes()), sig.astype(np.uint16).tobytes(), four_bits(sig), band_keys(sig)
+        return len(s), xxhash.xxh3_128_digest(s.tobytes()), sig.astype(np.uint16).tobytes(), band_keys(sig)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in (whole.slice(i, 500) for i in range(0, whole.num_rows, 500)):
-                n, digest, sig, bits, bands = zip(*map(one, b.column(1).to_pylist()), strict=True)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary()), pa.array(bits, pa.list_(pa.int64())), pa.array(bands, pa.list_(pa.int64()))], schema=schema)
+                n, digest, sig, bands = zip(*map(one, b.column(1).to_pylist()), strict=True)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], schema=schema)
 
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return src.mapInArrow(run, "id long, n_shingles long, digest binary, sig binary, bits array<bigint>, bands array<bigint>")
+    return src.mapInArrow(run, "id long, n_shingles long, digest binary, sig binary, bands array<bigint>")
 
 
 def _agreeing(pairs: DataFrame) -> DataFrame:
@@ -165,8 +156,8 @@ def _confirmed(pairs: DataFrame, sigs: DataFrame, texts: DataFrame) -> DataFrame
     return _linked(y)
 
 
-def _own_shingles(texts: DataFrame) -> DataFrame:
-    """(id, own): how many of a text's shingles no other text of these has."""
+def _shingle_rows(texts: DataFrame) -> DataFrame:
+    """(id, shingle) for every distinct shingle of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
@@ -174,35 +165,34 @@ def _own_shingles(texts: DataFrame) -> DataFrame:
                 s = shingle_set(text)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), i, np.int64)), pa.array(s.view(np.int64))], names=["id", "shingle"])
 
-    rows = texts.select("id", "text").mapInArrow(run, "id long, shingle long")
-    alone = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")).where(F.col("n") == 1)
-    return alone.groupBy("id").agg(F.count(F.lit(1)).alias("own"))
+    return texts.select("id", "text").mapInArrow(run, "id long, shingle long")
 
 
-def _across(left: DataFrame) -> DataFrame:
-    """Pairs (a, b) of a bucket's members in different components that can be similar enough.
+def _across(members: DataFrame, texts: DataFrame, scratch: Scratch, tag: str) -> DataFrame:
+    """Pairs (a, b) of members (id, n_shingles, component) in different components whose
+    similarity is not ruled out by their rarest shingles; no similar pair is missed.
 
-    Two sets share at most what either has in common with any other member (the column
-    `common`); that bounds their similarity exactly, and rules out members of a group whose
-    changes are all their own. Signature bits rule out most of the rest.
+    All sets are sorted alike, by the shingles' frequency among the members. Sets that
+    overlap enough share a shingle in their beginnings, and from the first shared one on
+    both are long enough to hold the whole overlap. At a shingle only members outside its
+    most frequent component look for partners.
     """
-    one = left.select("bucket", F.col("id").alias("a"), F.col("component").alias("c_a"), F.col("n_shingles").alias("n_a"), F.col("common").alias("m_a"), F.col("bits").alias("bits_a"), F.col("bands").alias("bands_a"))
-    two = left.select("bucket", F.col("id").alias("b"), F.col("component").alias("c_b"), F.col("n_shingles").alias("n_b"), F.col("common").alias("m_b"), F.col("bits").alias("bits_b"), F.col("bands").alias("bands_b"))
-
-    # as a loop over the longs: unrolled, the compiled condition would be too long to be optimised
-    def lanes(x: Column, y: Column) -> Column:
-        z = x.bitwiseXOR(y)
-        z = z.bitwiseOR(F.shiftrightunsigned(z, 1))
-        return F.bit_count(z.bitwiseOR(F.shiftrightunsigned(z, 2)).bitwiseAND(F.lit(LOW_BITS)))
-
-    differing = F.aggregate(F.zip_with("bits_a", "bits_b", lanes), F.lit(0), lambda total, n: total + n)
-    both = F.least("m_a", "m_b")  # at most so many shingles in common
-    alike = (100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")) & (100 * both >= PERCENT * (F.col("n_a") + F.col("n_b") - both)) & (differing <= MOST_DIFFERING)
-    # a pair that shares several buckets is made in the first of them only: in the others of
-    # these it would be a repeat, and a bucket that is done has settled it
-    first = F.array_min(F.array_intersect("bands_a", "bands_b")) == one.bucket
-    same = one.bucket == two.bucket
-    return one.join(two.hint("merge"), same & (F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & alike & first).select("a", "b")
+    rows = scratch.save(_shingle_rows(texts.join(members.select("id").hint("merge"), "id", "left_semi")), f"shingles{tag}")
+    # shingles of a single member can't be shared: they only count, as the first in order
+    common = scratch.save(rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1), f"common{tag}")
+    ranked = rows.join(common.hint("merge"), "shingle").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("s"))  # one text's shingles
+    own = F.col("n_shingles") - F.size("s")
+    begin = F.col("n_shingles") - F.floor((PERCENT * F.col("n_shingles") + 99) / 100) + 1
+    head = F.slice("s", F.lit(1), F.greatest(begin - own, F.lit(0)).cast("int"))
+    heads = ranked.join(members, "id").withColumn("own", own).select("id", "component", F.col("n_shingles").alias("n"), "own", F.posexplode(head).alias("at", "x"))
+    heads = scratch.save(heads.select("id", "component", F.col("x.shingle").alias("shingle"), "n", (F.col("n") - F.col("own") - F.col("at")).alias("rest")), f"heads{tag}")
+    parts = heads.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("shingle").agg(F.max_by("component", "c").alias("most"), F.count(F.lit(1)).alias("parts"))
+    mixed = scratch.save(heads.join(parts.where(F.col("parts") > 1).select("shingle", "most"), "shingle"), f"mixed{tag}")
+    one, two = (mixed.select(F.col("shingle").alias(f"s_{k}"), F.col("id").alias(k), F.col("component").alias(f"c_{k}"), F.col("n").alias(f"n_{k}"), F.col("rest").alias(f"rest_{k}"), F.col("most").alias(f"m_{k}")) for k in "ab")
+    alike = 100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")
+    enough = (100 + PERCENT) * F.least("rest_a", "rest_b") >= PERCENT * (F.col("n_a") + F.col("n_b"))
+    pairs = one.where(F.col("c_a") != F.col("m_a")).join(two.hint("merge"), (F.col("s_a") == F.col("s_b")) & (F.col("c_a") != F.col("c_b")) & alike & enough)
+    return pairs.select("a", "b")
 
 
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -220,7 +210,8 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
 
     # Classes of equal sets. The least id stands for a class; only classes of several rows are joined back.
     classes = real.groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    copies = scratch.save(real.select("id", "digest").join(classes.select("digest", "rep"), "digest").select("id", "rep"), "copies")
+    classes = scratch.save(classes.select("digest", "rep"), "classes")  # written, so that the join below can split a large class
+    copies = scratch.save(real.select("id", "digest").join(classes, "digest").select("id", "rep"), "copies")
     followers = copies.where(F.col("id") != F.col("rep")).select("id").distinct()
     reps = real.join(followers, "id", "left_anti")
 
@@ -246,12 +237,7 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
             break
         last = turn == MAX_PIVOTS or turn > 0 and pairs_left <= PAIRS_A_MEMBER * rows
         if last:
-            own = _own_shingles(texts.join(left.select("id").distinct().hint("merge"), "id", "left_semi"))
-            held = left.join(own, "id", "left").withColumn("common", F.col("n_shingles") - F.coalesce("own", F.lit(0)))
-            held = held.join(real.select("id", "bits", "bands").dropDuplicates(["id"]), "id")
-            # a member that shares too little with all others has no link
-            held = held.where(100 * F.col("common") >= PERCENT * F.col("n_shingles"))
-            pairs = _across(scratch.save(held, f"held{turn}"))
+            pairs = _across(left.select("id", "n_shingles", "component").distinct(), texts, scratch, str(turn))
         else:
             pivot = left.groupBy("bucket").agg(F.max(F.struct("company", -F.col("id"), "component")).alias("p"))
             pivot = scratch.save(pivot.select("bucket", (-F.col("p.col2")).alias("b"), F.col("p.component").alias("other")), f"pivot{turn}")
