@@ -105,6 +105,7 @@ class TextCNN:
     def fit(cls, texts: list[np.ndarray], labels: np.ndarray, prior: float, seed: int = 5) -> TextCNN:
         """Trains on the given rows; `prior` is the log-odds of label 1 in the whole table."""
         rng = np.random.default_rng(seed)
+        texts = [t if len(t) > PAD else np.full(PAD + 1, BUCKETS) for t in texts]  # no word: only the empty row
         # the first coordinate starts as the smoothed log-odds that a bucket occurs in a text of label 1
         seen = np.zeros((2, BUCKETS + 1))
         for ids, y in zip(texts, labels, strict=True):
@@ -184,18 +185,28 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, train: Column, id_col: str
     and calibrates a threshold a language (and one for all) on a part it doesn't train on.
 
     Labels other than 0 and 1 and null ids or labels are no labelled rows. With rows of one
-    label only, or none, the score is that label's share."""
+    label only, or none, the score is that label's share. Labelled texts that are null, empty
+    or without a word are trained on as the empty text. An id that repeats on either side
+    counts once for each pair of its rows. Executors hash the words, so that only word
+    numbers of the sample come to the driver."""
     marked = labels.where(train & F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
     totals = {r["label"]: r["count"] for r in marked.groupBy("label").count().collect()}
     sample = F.broadcast(sampled_rows(marked, "id", "label", rows))  # bounded by the parameter
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    got = sorted(src.join(sample, "id").collect(), key=lambda r: (r["id"], r["label"], r["text"] or ""))
-    ids, y = [word_ids(r["text"]) for r in got], np.array([r["label"] for r in got], float)
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words = [word_ids(t).astype(np.int32).tobytes() for t in b.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(words, pa.binary())], names=["id", "label", "lang", "words"])
+
+    rows_of = src.join(sample, "id").select(F.col("id").cast("string").alias("id"), "label", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    got = sorted(rows_of.mapInArrow(hashed, "id string, label int, lang string, words binary").collect(), key=lambda r: (r["id"], r["label"], bytes(r["words"])))
+    ids, y = [np.frombuffer(r["words"], np.int32).astype(np.int64) for r in got], np.array([r["label"] for r in got], float)
     n0, n1 = totals.get(0, 0), totals.get(1, 0)
     if not n0 or not n1 or not len(y) or y.min() == y.max():
         zero = TextCNN(np.zeros((BUCKETS + 1, DIM)), [np.zeros((w, DIM, FILTERS)) for w in WIDTHS], [np.zeros(FILTERS) for _ in WIDTHS], np.zeros(FILTERS * len(WIDTHS)), float(np.log((n1 + 0.5) / (n0 + 0.5))))
         return Toxicity(zero, {None: 0.5})
-    cal = np.array([xxhash.xxh3_64_intdigest(str(r["id"])) % 1000 < 1000 * CALIBRATE for r in got])
+    cal = np.array([xxhash.xxh3_64_intdigest(r["id"]) % 1000 < 1000 * CALIBRATE for r in got])
     if len(set(y[~cal])) < 2 or len(set(y[cal])) < 2:
         cal[:] = False
     prior = float(np.log(n1 / n0))

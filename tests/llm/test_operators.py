@@ -80,11 +80,10 @@ def test_minhash(documents, texts):
 
 
 def test_minhash_filters_lose_no_link():
-    """Each filter before the exact check fails a pair of similarity 0.75 with less than 2e-6."""
+    """The signature filter fails a pair of similarity 0.75 with less than 2e-6."""
     n = minhash.BANDS * minhash.ROWS
     tail = lambda p, least: sum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(least, n + 1))
     assert tail(0.25, n - math.ceil(minhash.LEAST_AGREEMENT * n) + 1) < 2e-6
-    assert tail(0.25 * 15 / 16, minhash.MOST_DIFFERING + 1) < 2e-6
 
 
 def test_minhash_pivots_reach_what_the_first_misses(spark, monkeypatch):
@@ -97,6 +96,23 @@ def test_minhash_pivots_reach_what_the_first_misses(spark, monkeypatch):
     assert got == brute_components(texts)
 
 
+def test_minhash_group_of_near_copies(spark):
+    """Copies of one text with changes of their own: some are like the first, some like each
+    other, most like none; a text of few words and null texts stand beside them."""
+    rng = np.random.default_rng(3)
+    base = [f"t{k}" for k in range(120)]
+    texts = {0: " ".join(base), 1: None, 2: "t1 t2", 3: ""}
+    for i in range(10, 130):
+        w = list(base)
+        for at in rng.choice(120, rng.integers(1, 9), replace=False):
+            w[at] = rng.choice(["", f"n{rng.integers(4)}", f"own{i}_{at}"])
+        texts[i] = " ".join(x for x in w if x)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_duplicate_classes(df).collect()}
+    want = brute_components(texts)
+    assert got == want and 5 < len({c for _, c, _ in want.values()}) < 100
+
+
 def test_quality(documents, texts):
     def brute(text):
         w = (text or "").encode().split()
@@ -123,6 +139,46 @@ def test_quality_fences(spark):
     assert not out.pop(1000) and all(out.values())
 
 
+def test_quality_limits_follow_exact_quantiles(spark):
+    """Limits and verdicts against exact quantiles (each group is smaller than its sketch)."""
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join("#" * int(rng.integers(0, 3)) * (rng.random() < 0.05) + f"w{rng.integers(500)}" for _ in range(60)), str(rng.choice(["en", "de"])), str(rng.choice(["a", "b", "b"]))) for i in range(120)]
+    rows += [(500, None, "en", "a"), (501, "", None, None), (502, "x " * 60, "en", "b"), (503, "####" + rows[0][1], None, None), (503, "####" + rows[0][1], None, None)]
+    out = quality.quality_filter(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    assert sorted(r["doc_id"] for r in out) == sorted(r[0] for r in rows)
+    of = {r[0]: r[2:] for r in rows}
+    good = [r for r in out if not r["base_failed"]]
+    share = {id(r): r["n_symbols"] / r["word_chars"] for r in good}
+
+    def at(values, q):  # the least value with a share of q of the values up to it
+        return sorted(values)[max(0, math.ceil(q * len(values)) - 1)]
+
+    def quantiles(rows, value):
+        return [at([value(r) for r in rows], q) for q in (0.25, 0.5, 0.75)]
+
+    def shrunk(r, value):
+        own = [x for x in good if of[x["doc_id"]] == of[r["doc_id"]]]
+        lang = [x for x in good if of[x["doc_id"]][0] == of[r["doc_id"]][0]]
+        p, q = (len(x) / (len(x) + quality.PRIOR_ROWS) for x in (own, lang))
+        return [p * a + (1 - p) * (q * b + (1 - q) * c) for a, b, c in zip(quantiles(own, value), quantiles(lang, value), quantiles(good, value), strict=True)]
+
+    for r in good:
+        q1, _, q3 = shrunk(r, lambda x: share[id(x)])
+        size = shrunk(r, lambda x: x["word_chars"])[1]
+        limit = q3 + quality.FENCE * (q3 - q1 + math.sqrt((q3 + 4 / size) * 4 / r["word_chars"]))
+        assert r["symbol_share_max"] == pytest.approx(limit, rel=1e-6)
+        if share[id(r)] > limit:
+            assert not r["kept"]
+
+
+def test_quality_edges(spark):
+    """Empty tables, and tables of which no row passes the base rule."""
+    schema = "doc_id long, text string, lang string, source string"
+    assert quality.quality_filter(spark.createDataFrame([], schema)).count() == 0
+    rows = quality.quality_filter(spark.createDataFrame([(1, "a b", "en", "s"), (2, None, None, None), (None, "", "en", "s")], schema)).collect()
+    assert len(rows) == 3 and all(r["base_failed"] and not r["kept"] and r["symbol_share_max"] is None for r in rows)
+
+
 def test_repeated_words():
     for text in ("a b c a b c", "a a a a", "a b c d", "x y", "a b c d a b c e f d a b"):
         ids = {}
@@ -342,6 +398,18 @@ def test_toxicity_edges(spark, documents, texts):
     assert {round(r["score"], 6) for r in textcnn.score_toxicity(documents, none).collect()} == {0.5}
 
 
+def test_toxicity_wordless_labels(spark):
+    """Null, empty and wordless texts among the labelled rows are trained on as empty."""
+    texts = [None, "", "!!", "  "] + ["bad words here"] * 30 + ["nice calm words"] * 30
+    docs = spark.createDataFrame([(i, t, None if i % 5 else "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(t is not None and "bad" in t)) for i, t in enumerate(texts)], "doc_id long, toxic int")
+    fitted = textcnn.fit_toxicity(docs, labels, F.lit(True))
+    scores = {r["doc_id"]: r["score"] for r in textcnn.score_toxicity(docs, fitted).collect()}
+    assert len({scores[i] for i in range(4)}) == 1 and scores[0] < scores[4] and scores[40] < scores[4]
+    empty = textcnn.fit_toxicity(docs.limit(0), labels.limit(0), F.lit(True))
+    assert textcnn.score_toxicity(docs.limit(0), empty).count() == 0
+
+
 def test_context_trees_code_lengths():
     """Against a direct walk down the contexts of each byte."""
     samples = {"a": ["abracadabra", "banana band"], "b": ["xylophone", "banal xenon"]}
