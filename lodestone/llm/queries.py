@@ -125,20 +125,22 @@ FROM documents LEFT JOIN agg USING (doc_id)
 """
 
 ORACLES["op5_line_dedup"] = r"""
-WITH texts AS (SELECT DISTINCT text FROM documents WHERE text IS NOT NULL),
-lines AS (SELECT text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM texts),
-toks AS (SELECT text, pos, list_transform(list_filter(string_split_regex(line, '[\x20\x09-\x0D]+'), lambda x: x <> ''),
+WITH texts AS (SELECT DISTINCT text, md5(text) AS key FROM documents WHERE text IS NOT NULL),
+lines AS (SELECT key, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM texts),
+toks AS (SELECT key, pos, list_transform(list_filter(string_split_regex(line, '[\x20\x09-\x0D]+'), lambda x: x <> ''),
     lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS tokens FROM lines),
-l AS (SELECT text, pos, tokens, len(tokens) AS n, (len(tokens), tokens[1:3]) AS leaf, CASE WHEN len(tokens) >= 8 THEN 3 ELSE 20 END AS need FROM toks WHERE len(tokens) >= 3),
-leaves AS (SELECT leaf FROM l GROUP BY leaf, need HAVING count(DISTINCT text) >= need),
-bodies AS (SELECT leaf, tokens, n, need, count(DISTINCT text) AS n_docs FROM l SEMI JOIN leaves USING (leaf) GROUP BY ALL),
+l AS (SELECT key, pos, tokens, len(tokens) AS n, (len(tokens), tokens[1:3]) AS leaf, CASE WHEN len(tokens) >= 50 THEN 2 WHEN len(tokens) >= 8 THEN 3 ELSE 20 END AS need FROM toks WHERE len(tokens) > 0),
+leaves AS (SELECT leaf FROM l GROUP BY leaf, need HAVING count(DISTINCT key) >= need),
+bodies AS (SELECT leaf, tokens, n, need, count(DISTINCT key) AS n_docs FROM l SEMI JOIN leaves USING (leaf) GROUP BY ALL),
 each AS (SELECT leaf, tokens, n, need, n_docs, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS p FROM bodies),
-fixed AS (SELECT leaf, p, token FROM each GROUP BY leaf, p, token, need HAVING sum(n_docs) >= need),
-recurring AS (SELECT tokens FROM each SEMI JOIN fixed USING (leaf, p, token) GROUP BY tokens, n HAVING 100 * count(*) >= 80 * n),
-gone AS (SELECT text, list(pos) AS pos, sum(n) AS words FROM l SEMI JOIN recurring USING (tokens) GROUP BY text),
-d AS (SELECT doc_id, documents.text, gone.pos, 100 * words < 80 * len(list_filter(string_split_regex(documents.text, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS clear
-    FROM documents LEFT JOIN gone ON documents.text = gone.text)
-SELECT doc_id, CASE WHEN text IS NULL THEN 0 ELSE len(string_split(text, chr(10))) END::BIGINT AS n_lines, CASE WHEN clear THEN len(pos) ELSE 0 END::BIGINT AS n_dropped,
-  CASE WHEN clear THEN array_to_string(list_filter(string_split(text, chr(10)), lambda x, i: NOT list_contains(pos, i)), chr(10)) ELSE text END AS text
-FROM d
+fixed AS (SELECT leaf, p, token, sum(n_docs) AS s FROM each WHERE token <> '<*>' GROUP BY leaf, p, token, need HAVING sum(n_docs) >= need),
+ranked AS (SELECT tokens, n, p, token, row_number() OVER (PARTITION BY tokens ORDER BY s DESC, p) AS r, count(*) OVER (PARTITION BY tokens) AS m FROM each JOIN fixed USING (leaf, p, token)),
+of_line AS (SELECT tokens, n, list({'p': p, 'token': token} ORDER BY p) AS template FROM ranked WHERE m >= ceil(n * 80 / 100) AND r <= ceil(n * 80 / 100) GROUP BY tokens, n),
+held AS (SELECT l.key, l.pos, l.tokens, l.leaf, l.need, template FROM l JOIN of_line ON l.tokens = of_line.tokens),
+templates AS (SELECT leaf, template, min(key) AS first FROM held GROUP BY leaf, template, need HAVING count(DISTINCT key) >= need),
+places AS (SELECT key, pos, first, row_number() OVER (PARTITION BY key, tokens ORDER BY pos) AS nth FROM held JOIN templates USING (leaf, template)),
+gone AS (SELECT key, list(pos) AS pos FROM places WHERE key <> first OR nth > 1 GROUP BY key)
+SELECT doc_id, CASE WHEN text IS NULL THEN 0 ELSE len(string_split(text, chr(10))) END::BIGINT AS n_lines, coalesce(len(pos), 0)::BIGINT AS n_dropped,
+  CASE WHEN pos IS NULL THEN text ELSE array_to_string(list_filter(string_split(text, chr(10)), lambda x, i: NOT list_contains(pos, i)), chr(10)) END AS text
+FROM documents LEFT JOIN gone ON md5(documents.text) = gone.key
 """

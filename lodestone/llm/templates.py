@@ -3,15 +3,10 @@
 Lines are parsed by a tree of fixed depth: first by their number of tokens, then by their
 leading tokens, where a token with a digit counts as a variable field. A leaf holds lines
 that may come from one template. Within a leaf a word may be constant at a position where
-it recurs in several documents; other positions are variable fields. A line has two
-candidate templates: all such words of it, and of these the most frequent, as few as a
-template needs. A line is an instance of a recurring template, and is dropped, if several
-documents share all words of a candidate.
-
-A document of which little is left without such lines may be a copy of others whose
-content would be lost with them. Of all such documents, the first that has a template
-keeps its lines of that template; every other occurrence goes. Long passages stay in
-one document in any case.
+it recurs in several documents; other positions are variable fields. A line's template is
+the most frequent of its constant words, as few as a template needs, with their positions.
+A template that several documents share is recurring: of all its lines, those of one
+document stay (equal ones once), so that no content is lost, and every other goes.
 """
 
 from __future__ import annotations
@@ -23,18 +18,15 @@ from lodestone.llm.common import Scratch
 
 #: Leading tokens that the tree branches on below the number of tokens.
 DEPTH = 3
-#: Lines of fewer tokens than this are never templates: they repeat by chance.
-MIN_TOKENS = 3
-#: Documents (of different text) that a template needs: lines of LONG tokens and more
-#: need MIN_DOCS, shorter ones, which coincide more easily, SHORT_DOCS. PASSAGE tokens
-#: don't repeat by chance: PASSAGE_DOCS are enough.
+#: Documents (of different text) that a template needs. Short lines coincide by chance:
+#: from LONG tokens on MIN_DOCS are enough, below SHORT_DOCS. PASSAGE tokens don't repeat
+#: by chance: PASSAGE_DOCS are enough.
 LONG, MIN_DOCS, SHORT_DOCS = 8, 3, 20
 PASSAGE, PASSAGE_DOCS = 50, 2
 #: Percent of a line's positions that must be constant words.
 CONSTANT_PCT = 80
-#: A document with this percent of its words in recurring lines keeps those that no
-#: earlier such document has.
-COPY_PCT = 80
+#: A leaf may hold a large part of all lines: it is dealt to so many tasks.
+SALTS = 16
 
 FIELD = "<*>"
 
@@ -72,18 +64,20 @@ def _lines(docs: DataFrame, text_col: str) -> DataFrame:
     return rows.select("key", "pos", "n", F.xxhash64("n", F.substring_index("m", " ", DEPTH)).alias("leaf"), F.xxhash64("n", "m").alias("body"))
 
 
-def recurring_lines(docs: DataFrame, scratch: Scratch, text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(templates, places, where).
+def recurring_lines(docs: DataFrame, scratch: Scratch, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(templates, places).
 
-    templates: leaf, template (hash of the constant words and their positions), n, n_docs
-    (documents of different text with a line of it) for every recurring template.
-    places: key, pos, n, leaf, body, template of every line of one; the least template of a line.
-    where: key, pos, n, leaf, body of every line with a token, repeated for copies of a text.
+    templates: leaf, template (hash of the constant words and their positions), n_docs
+    (documents of different text with a line of it), first (the least key of these) for
+    every recurring template. places: key, pos, leaf, body, first of every line of one.
     """
-    where = scratch.save(_lines(docs, text_col), "where")
-    # pairs (line, document), each once, so that counts below are counts of documents
-    support = where.where(F.col("n") >= MIN_TOKENS).select("leaf", "n", "key").distinct().groupBy("leaf", "n").agg(F.count(F.lit(1)).alias("s")).where(F.col("s") >= _needed(F.col("n"))).select("leaf")
-    once = where.join(support, "leaf", "left_semi").groupBy("leaf", "body", "key").agg(F.min("pos").alias("pos"), F.first("n").alias("n"))
+    where = scratch.save(_lines(docs, text_col), "where")  # repeated for copies of a text
+    # pairs (leaf, document), each once, so that the counts are counts of documents
+    support = where.select("leaf", "n", "key").distinct().groupBy("leaf", "n").agg(F.count(F.lit(1)).alias("s")).where(F.col("s") >= _needed(F.col("n")))
+    salts = F.explode(F.array(*(F.lit(i) for i in range(SALTS))))
+    support = scratch.save(support.select("leaf", salts.alias("salt")), "support")
+    salted = where.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int"))
+    once = salted.join(support, ["leaf", "salt"], "left_semi").groupBy("leaf", "body", "key").agg(F.min("pos").alias("pos"), F.first("n").alias("n"))
     weight = once.groupBy("leaf", "body").agg(F.count(F.lit(1)).alias("n_docs"), F.min(F.struct("key", "pos")).alias("at"), F.first("n").alias("n"))
     weight = scratch.save(weight, "weight")
     # the tokens of every distinct line of the leaves in question, from one text that has it
@@ -95,55 +89,47 @@ def recurring_lines(docs: DataFrame, scratch: Scratch, text_col: str = "text") -
     each = distinct.select("leaf", "body", "n", "n_docs", F.posexplode("tokens").alias("p", "token"))
     each = each.where(F.col("token") != FIELD)
     constant = each.groupBy("leaf", "n", "p", "token").agg(F.sum("n_docs").alias("s")).where(F.col("s") >= _needed(F.col("n"))).select("leaf", "p", "token", "s")
-    marked = each.join(constant, ["leaf", "p", "token"])
+    constant = scratch.save(constant, "constant")  # written, so that the join below can split a frequent word
     # a line's constant words, the most frequent first; of these, as few as a template needs
     least = F.ceil(F.col("n") * CONSTANT_PCT / 100).cast("int")
-    words = marked.groupBy("leaf", "body", "n").agg(F.array_sort(F.collect_list(F.struct((-F.col("s")).alias("s"), "p", "token"))).alias("words")).where(F.size("words") >= least)
-    hashed = lambda w: F.xxhash64(F.array_sort(F.transform(w, lambda x: F.struct(x["p"].alias("p"), x["token"].alias("token")))))
-    candidates = words.select("leaf", "body", F.explode(F.array_distinct(F.array(hashed(F.col("words")), hashed(F.slice("words", F.lit(1), least))))).alias("template"))
-    candidates = scratch.save(candidates, "candidates")
-    lines = scratch.save(where.join(candidates, ["leaf", "body"]).select("key", "pos", "n", "leaf", "body", "template").distinct(), "lines")
-    templates = lines.select("leaf", "template", "n", "key").distinct().groupBy("leaf", "template", "n").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") >= _needed(F.col("n")))
-    templates = scratch.save(templates, "templates")
-    places = lines.join(templates.select("leaf", "template"), ["leaf", "template"], "left_semi").groupBy("key", "pos", "n", "leaf", "body").agg(F.min("template").alias("template"))
-    return templates, places, where
+    marked = each.join(constant, ["leaf", "p", "token"]).groupBy("leaf", "body", "n").agg(F.array_sort(F.collect_list(F.struct((-F.col("s")).alias("s"), "p", "token"))).alias("words")).where(F.size("words") >= least)
+    chosen = F.array_sort(F.transform(F.slice("words", F.lit(1), least), lambda x: F.struct(x["p"].alias("p"), x["token"].alias("token"))))
+    of_line = scratch.save(marked.select("leaf", "body", F.xxhash64(chosen).alias("template")), "of_line")
+    lines = scratch.save(where.join(of_line, ["leaf", "body"]).select("key", "pos", "n", "leaf", "body", "template").distinct(), "lines")
+    counted = lines.select("leaf", "template", "n", "key").distinct().groupBy("leaf", "template", "n").agg(F.count(F.lit(1)).alias("n_docs"), F.min("key").alias("first"))
+    templates = scratch.save(counted.where(F.col("n_docs") >= _needed(F.col("n"))).drop("n"), "templates")
+    return templates, lines.join(templates.drop("n_docs"), ["leaf", "template"]).select("key", "pos", "leaf", "body", "first")
 
 
 def drop_recurring_lines(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Every input row and column, with the text cleared of recurring lines, and the new
     columns n_lines and n_dropped.
 
-    A text with COPY_PCT percent or more of its words in recurring lines keeps the lines of
-    every template of which it is, among such texts, the first by its key (equal lines once);
-    a text may end up empty where others keep all it has. Lines of PASSAGE tokens or more that
-    no such text has stay in the first text of all. Null texts stay null with 0 lines, the empty text has
-    one (empty) line. Copies of one text count as one document and are treated alike. Empty
-    tables give an empty result. Input columns named n_lines or n_dropped are replaced.
+    The lines of a recurring template stay in the first text by its key (the md5 of the
+    text), equal lines there once, and go from all others; so a text whose lines are all
+    found elsewhere may end up empty. Null texts stay null with 0 lines, the empty text has
+    one (empty) line. Copies of one text count as one document and are treated alike. Lines
+    without a token, or without a token free of digits, never go. Empty tables give an empty
+    result. Input columns named n_lines or n_dropped are replaced.
     """
     scratch = Scratch(docs.sparkSession, "templates")
     docs = docs.drop("n_lines", "n_dropped")
-    _, places, where = recurring_lines(docs, scratch, text_col)
+    _, places = recurring_lines(docs, scratch, text_col)
     places = scratch.save(places, "places")
-    some = places.groupBy("key").agg(F.sum("n").alias("words_gone"))
-    words = where.join(places.select("key").distinct(), "key", "left_semi").select("key", "pos", "n").distinct().groupBy("key").agg(F.sum("n").alias("words"))
-    little = some.join(words, "key").where(100 * F.col("words_gone") >= COPY_PCT * F.col("words")).select("key")
-    # the first of the texts of which little is left keeps a template's lines, equal ones once;
-    # passages are content, not boilerplate: where there is no such text, any first one keeps them
-    held = places.join(little.withColumn("little", F.lit(True)), "key", "left").where(F.col("little") | (F.col("n") >= PASSAGE))
-    first = held.groupBy("leaf", "template").agg(F.min(F.struct(F.col("little").isNull().alias("rest"), "key"))["key"].alias("key"))
-    kept = held.join(first, ["key", "leaf", "template"], "left_semi").groupBy("key", "leaf", "body").agg(F.min("pos").alias("pos"))
-    lost = places.join(kept.select("key", "pos"), ["key", "pos"], "left_anti")
+    others = places.where(F.col("key") != F.col("first")).select("key", "pos")
+    again = places.where(F.col("key") == F.col("first")).groupBy("key", "leaf", "body").agg(F.sort_array(F.collect_set("pos")).alias("all"))
+    again = again.select("key", F.explode(F.slice("all", F.lit(2), F.size("all"))).alias("pos"))
     # one row a text with such lines: at most as many positions as it has lines
-    found = scratch.save(lost.groupBy("key").agg(F.sort_array(F.collect_set("pos")).alias("gone")), "found")
+    found = scratch.save(others.unionByName(again).groupBy("key").agg(F.sort_array(F.collect_set("pos")).alias("gone")), "found")
     key, gone = "__line_key", "__line_gone"
     text = F.col(text_col).cast("string")
     rows = docs.withColumn(key, _key(text))
     out = rows.join(found.select(F.col("key").alias(key), F.col("gone").alias(gone)).hint("merge"), key, "left")
     clear = F.col(gone).isNotNull()
-    kept = F.array_join(F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains(F.col(gone), i)), "\n")
+    left = F.array_join(F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains(F.col(gone), i)), "\n")
     out = out.withColumns({
         "n_lines": F.when(text.isNull(), 0).otherwise(F.size(F.split(text, "\n"))).cast("long"),
         "n_dropped": F.when(clear, F.size(gone)).otherwise(0).cast("long"),
-        text_col: F.when(clear, kept).otherwise(text),
+        text_col: F.when(clear, left).otherwise(text),
     })
     return out.drop(key, gone)

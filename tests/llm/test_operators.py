@@ -1,6 +1,7 @@
 """Each corpus operator against brute force on small tables, and its edge cases."""
 
 import collections
+import hashlib
 import itertools
 import math
 import zlib
@@ -259,16 +260,48 @@ def test_masks_miss_no_overlap():
         assert any(not {o + x for x in m} & set(gone) for m in decontam.MASKS for o in range(decontam.WINDOW - m[-1]))
 
 
+def brute_lines(texts):
+    """id -> text without recurring lines, from the rule's definition in plain Python."""
+    need = lambda n: 2 if n >= 50 else 3 if n >= 8 else 20
+    found = {}  # (text, pos) -> masked tokens
+    for t in {t for t in texts.values() if t is not None}:
+        for i, line in enumerate(t.split("\n")):
+            tokens = tuple("<*>" if any(c in "0123456789" for c in w) else w for w in line.replace("\x0b", " ").replace("\f", " ").replace("\r", " ").replace("\t", " ").split(" ") if w)
+            if tokens:
+                found[t, i] = tokens
+    holders, words = collections.defaultdict(set), collections.Counter()
+    for (t, _), x in found.items():
+        holders[x].add(t)
+    for x, ts in holders.items():
+        words.update({(len(x), x[:3], p, w): len(ts) for p, w in enumerate(x) if w != "<*>"})
+    template = {}
+    for x in holders:
+        least = math.ceil(len(x) * 0.8 - 1e-9)
+        constant = sorted((-words[len(x), x[:3], p, w], p, w) for p, w in enumerate(x) if w != "<*>" and words[len(x), x[:3], p, w] >= need(len(x)))
+        if len(constant) >= least:
+            template[x] = (len(x), x[:3], tuple(sorted(c[1:] for c in constant[:least])))
+    md5 = lambda t: hashlib.md5(t.encode()).digest()
+    having = collections.defaultdict(set)
+    for (t, _), x in found.items():
+        if x in template:
+            having[template[x]].add(t)
+    gone = collections.defaultdict(set)
+    for (t, i), x in sorted(found.items()):
+        ts = having.get(template.get(x), ())
+        if len(ts) >= need(len(x)) and (t != min(ts, key=md5) or any(found.get((t, j)) == x for j in range(i))):
+            gone[t].add(i)
+    return {d: None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[t]) for d, t in texts.items()}
+
+
 def test_line_templates(documents, texts):
     out = templates.drop_recurring_lines(documents)
     assert out.columns == [*documents.columns, "n_lines", "n_dropped"]
     rows = {r["doc_id"]: r for r in out.collect()}
-    assert len(rows) == len(texts)
-    for i in range(80, 84):
-        assert rows[i]["n_dropped"] == 1 and "licence number" not in rows[i]["text"] and rows[i]["text"].startswith("Start")
+    want = brute_lines(texts)
+    assert {d: r["text"] for d, r in rows.items()} == want
+    assert sum("licence number" in rows[i]["text"] for i in range(80, 84)) == 1 and all(rows[i]["text"].startswith("Start") for i in range(80, 84))
     for d, t in texts.items():
-        if d < 80:  # copies are left whole, others have nothing that recurs
-            assert rows[d]["text"] == t and rows[d]["n_dropped"] == 0
+        assert (rows[d]["n_dropped"] > 0) == (want[d] != t)
     assert rows[70]["n_lines"] == 0 and rows[71]["n_lines"] == 1
 
 
@@ -289,15 +322,16 @@ def test_line_templates_clean_lines_stay(spark):
     crowd = ["one two three " + " ".join("abcde"[int(k)] * 3 for k in rng.integers(0, 5, 7)) for _ in range(60)]
     form = [f"Filed under the usual terms by {letters(rng, 1)} of our house" for _ in range(4)]
     texts = [f"{rows[i % 12]}\n{crowd[i]}\n{form[i] if i < 4 else ''}\n{letters(rng, 60)}" for i in range(60)]
-    for i, r in enumerate(sorted(templates.drop_recurring_lines(lines_frame(spark, texts)).collect(), key=lambda r: r["doc_id"])):
-        lines = texts[i].split("\n")
+    found = sorted(templates.drop_recurring_lines(lines_frame(spark, texts)).collect(), key=lambda r: r["doc_id"])
+    assert sum(form[i] in found[i]["text"] for i in range(4)) == 1  # a template stays in one text
+    for i, r in enumerate(found):
         alike = sum(sum(a == b for a, b in zip(crowd[i].split(), x.split(), strict=True)) >= 8 for x in crowd)
         assert rows[i % 12] in r["text"] and (alike >= 3 or crowd[i] in r["text"])
-        assert r["n_dropped"] <= 2 and (i >= 4 or lines[2] not in r["text"])
+        assert r["n_dropped"] <= 2
 
 
 def test_line_templates_mostly_shared(spark):
-    """Of texts that are four fifths shared passages or more, one keeps each passage."""
+    """Whatever part of a text recurs, one text keeps each passage and each footer, once."""
     rng = np.random.default_rng(5)
     shared, footer = [letters(rng, 42) for _ in range(2)], letters(rng, 10)
     own = [letters(rng, 8) for _ in range(4)]
@@ -305,8 +339,17 @@ def test_line_templates_mostly_shared(spark):
     out = {r["doc_id"]: r for r in templates.drop_recurring_lines(lines_frame(spark, texts)).collect()}
     kept = collections.Counter(x for r in out.values() for x in r["text"].split("\n"))
     assert [kept[x] for x in (*shared, footer)] == [1, 1, 1] and all(kept[x] == 1 for x in own)
-    assert footer not in out[5]["text"] and footer not in out[6]["text"]
     assert sum(r["n_dropped"] for r in out.values()) == 2 + 2 + 3
+    assert {d: r["text"] for d, r in out.items()} == brute_lines(dict(enumerate(texts)))
+
+
+def test_line_templates_short_lines(spark):
+    """One or two words recur by chance: in 20 texts they are a template, in 19 they aren't."""
+    rng = np.random.default_rng(8)
+    texts = [f"{letters(rng, 60)}\nLes.\n{'And so' if i < 19 else 'x 1'}\n12 34" for i in range(25)]
+    out = {r["doc_id"]: r["text"] for r in templates.drop_recurring_lines(lines_frame(spark, texts)).collect()}
+    assert sum("Les." in t for t in out.values()) == 1 and sum("And so" in t for t in out.values()) == 19 and all("12 34" in t for t in out.values())
+    assert out == brute_lines(dict(enumerate(texts)))
 
 
 def test_line_templates_passages_of_two(spark):
