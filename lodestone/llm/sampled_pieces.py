@@ -22,6 +22,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, repeat
 from pathlib import Path
 
 import numpy as np
@@ -46,6 +47,8 @@ CACHE_NODES = 1_600_000
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _CHUNK = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
+#: Before a word that follows a line end, in the list of a plain text's words: it has no mark.
+BARE = "\udc00"
 
 
 @dataclass
@@ -111,6 +114,28 @@ def _uniform(*parts: np.ndarray) -> np.ndarray:
 GUMBEL_MAX = 37.5
 
 
+def split_words(text: str) -> list[str]:
+    """The words of a text, none of which a piece can cross the start of.
+
+    Spaces are marks, one mark goes in front, as the model's own normaliser does. Most texts
+    have single spaces only; their words stand without their mark, those that have none
+    after BARE, and are found by plain splitting.
+    """
+    if SPACE not in text:
+        plain = text.replace("\n", f" \n {BARE}").replace(f"{BARE} ", "")
+        plain = plain.removeprefix(" ") if text.startswith("\n") else plain
+        plain = plain.removesuffix(f" {BARE}")
+        if "  " not in plain and not text.startswith((" ", "\n")) and not text.endswith(" "):
+            return plain.split(" ")
+    marked = SPACE + text.replace(SPACE, LITERAL).replace(" ", SPACE)
+    return [w[1:] if w[0] == SPACE and w[1:2] not in ("", SPACE, "\n") else w if w[0] in (SPACE, "\n") else BARE + w for w in _CHUNK.findall(marked)]
+
+
+def lattice_form(word: str) -> str:
+    """A word of split_words() with its mark."""
+    return word[1:] if word[0] == BARE else word if word[0] in (SPACE, "\n") else SPACE + word
+
+
 class Lattices:
     """Lattices of distinct words, with the conditional edge probabilities of every node.
 
@@ -123,18 +148,21 @@ class Lattices:
         self.vocab = vocab
         ids = np.flatnonzero(vocab.usable)
         self.longest = max(len(vocab.pieces[i]) for i in ids)
-        self.ids = ids
-        # hashes of all pieces, those of one length together
+        # hashes of all pieces and of their beginnings, of which most have no id of their own
         size = np.array([len(vocab.pieces[i]) for i in ids])
-        keys = np.zeros(len(ids), np.uint64)
+        keys, of = [], []
         for n in np.unique(size):
-            mine = np.flatnonzero(size == n)
-            chars = np.frombuffer("".join(vocab.pieces[i] for i in ids[mine]).encode("utf-32-le"), np.uint32).reshape(-1, n)
+            mine = ids[size == n]
+            chars = np.frombuffer("".join(vocab.pieces[i] for i in mine).encode("utf-32-le"), np.uint32).reshape(-1, n)
             run = np.zeros(len(mine), np.uint64)
             for k in range(n):
                 run = run * _BASE + chars[:, k].astype(np.uint64) + np.uint64(1)
-            keys[mine] = _mix(run + np.uint64(n))
-        self.table = KeyTable(keys)
+                keys.append(_mix(run + np.uint64(k + 1)))
+                of.append(mine if k + 1 == n else np.full(len(mine), -1))
+        keys, of = np.concatenate(keys), np.concatenate(of)
+        order = np.lexsort((-of, keys))  # of equal strings the piece first
+        first = np.flatnonzero(np.diff(keys[order], prepend=keys[order[0]] - np.uint64(1)) != 0)
+        self.table, self.ids = KeyTable(keys[order[first]]), of[order[first]]
         narrow = len(vocab.pieces) < 1 << 15
         self.cum = np.empty((CACHE_NODES, self.longest), np.float32)
         self.prob = np.empty((CACHE_NODES, self.longest), np.float32)
@@ -142,90 +170,138 @@ class Lattices:
         self.clear()
 
     def clear(self) -> None:
-        self.start: dict[str, int] = {}
+        self.number: dict[str, int] = {}  # of each word
+        self.first = np.zeros(1 << 12, np.int64)  # by word: its first node
+        self.size = np.zeros(1 << 12, np.int64)  # its length
+        self.uses = np.zeros(1 << 12, np.int64)  # and how often it was met
         self.used = 0
         self.bytes: dict[int, str] = {}
 
     def add(self, words: list[str]) -> None:
-        """Builds the lattices of words not seen before, a few thousand at a time."""
-        need = self.used + sum(map(len, words))
+        """Builds the lattices of words not seen before, some of one length at a time."""
+        forms = list(map(lattice_form, words))
+        sizes = np.fromiter(map(len, forms), np.int64, len(forms))
+        need = self.used + int(sizes.sum())
         if need > len(self.cum):  # one batch of very long words
             for name in ("cum", "prob", "piece"):
                 old = getattr(self, name)
                 new = np.empty((need, self.longest), old.dtype)
                 new[: self.used] = old[: self.used]
                 setattr(self, name, new)
-        words = sorted(words, key=len)  # words of like length share a table no wider than they are
-        sizes = np.array([len(w) for w in words])
-        total = np.cumsum(sizes)
-        lo = 0
+        while len(self.number) + len(words) > len(self.first):
+            self.first, self.size, self.uses = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.size, self.uses))
+        order = np.argsort(sizes, kind="stable")
+        words, forms, sizes = [words[i] for i in order.tolist()], [forms[i] for i in order.tolist()], sizes[order]
+        lo, base = 0, len(self.number)
+        self.number.update(zip(words, range(base, base + len(words)), strict=True))
+        self.size[base : base + len(words)] = sizes
+        self.first[base : base + len(words)] = self.used + np.cumsum(sizes) - sizes
         while lo < len(words):
-            hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + (1 << 14), "right")))
-            self._build(words[lo:hi], sizes[lo:hi])
+            n = int(sizes[lo])
+            hi = min(int(np.searchsorted(sizes, n, "right")), lo + max(1, (1 << 14) // n))
+            self._build(forms[lo:hi], n)
             lo = hi
 
-    def _build(self, words: list[str], size: np.ndarray) -> None:
-        n, wide = int(size.sum()), min(self.longest, int(size.max()))
-        chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
-        first = np.cumsum(size) - size
-        end = np.repeat(first + size, size)
-        at = np.arange(n)
-        piece = np.full((n, wide), -1, self.piece.dtype)
-        log_w = np.full((n, wide), -np.inf, np.float32)
-        run = np.zeros(n, np.uint64)
-        for k in range(1, wide + 1):
-            here = np.flatnonzero(at + k <= end)
-            run[here] = run[here] * _BASE + chars[here + k - 1].astype(np.uint64) + np.uint64(1)
-            row = self.table.find(_mix(run[here] + np.uint64(k)))
-            hit = row >= 0
-            here, got = here[hit], self.ids[row[hit]]
-            piece[here, k - 1] = got
-            log_w[here, k - 1] = self.vocab.weights[got]
-        for i in np.flatnonzero(piece[:, 0] < 0):  # every character can be passed: by its bytes if need be
-            char = chr(chars[i])
-            self.bytes[self.used + int(i)] = SPACE if char == LITERAL else char
-            piece[i, 0] = -2
-            log_w[i, 0] = BYTE_WEIGHT * len(self.bytes[self.used + int(i)].encode("utf-8", "surrogatepass"))
-        # backward sums, all words at once, from their last characters; a word's end has weight 1
-        beta = np.zeros(n + wide + 1, np.float32)
-        order = np.argsort(-size, kind="stable")
-        longer, last = -size[order], (first + size)[order]
-        step = np.arange(1, wide + 1)
-        for r in range(1, int(size.max()) + 1):
-            node = last[: np.searchsorted(longer, -r, "right")] - r
-            k = min(r, wide)
-            after = beta[node[:, None] + step[:k]]
-            after[:, k - 1] *= r > wide  # the word's end
-            after += log_w[node, :k]
-            top = after.max(axis=1)
-            after -= top[:, None]
-            beta[node] = top + np.log(np.exp(after).sum(axis=1))
-        log_w += np.where((at[:, None] + step) < end[:, None], beta[at[:, None] + step], np.float32(0))
-        log_w -= beta[:n, None]
-        p = np.exp(log_w, out=log_w)
+    def _build(self, words: list[str], n: int) -> None:
+        """Lattices of words of n characters each; arrays are by character, piece length, word."""
+        only = len(words) == 1
+        if only:  # sums over a single column round otherwise than over several
+            words = words * 2
+        m = len(words)
+        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(m, n)
+        chars = (codes.T.astype(np.uint64) + np.uint64(1)).ravel()
+        alive, run, found = np.arange(n * m), chars, []
+        for k in range(1, min(self.longest, n) + 1):
+            if k > 1:  # only what began a piece so far goes on
+                alive = alive[: np.searchsorted(alive, (n - k + 1) * m)]
+                run = run[: len(alive)] * _BASE + chars[alive + (k - 1) * m]
+            row = self.table.find(_mix(run + np.uint64(k)))
+            hit = np.flatnonzero(row >= 0)
+            alive, run, got = alive[hit], run[hit], self.ids[row[hit]]
+            whole = np.flatnonzero(got >= 0)
+            found.append((alive[whole], got[whole]))
+        wide = max(1, *(k + 1 for k, (x, _) in enumerate(found) if len(x)), 1)
+        piece = np.full((n, wide, m), -1, self.piece.dtype)
+        p = np.full((n, wide, m), -np.inf, np.float32)  # weights, then conditional probabilities
+        for k, (x, got) in enumerate(found[:wide]):
+            at, word = np.divmod(x, m)
+            piece[at, k, word] = got
+            p[at, k, word] = self.vocab.weights[got]
+        keep = 1 if only else m
+        for i, word in np.argwhere(piece[:, 0] < 0).tolist():  # every character can be passed: by its bytes if need be
+            char = chr(codes[word, i])
+            char = SPACE if char == LITERAL else char
+            if word < keep:
+                self.bytes[self.used + word * n + i] = char
+            piece[i, 0, word] = -2
+            p[i, 0, word] = BYTE_WEIGHT * len(char.encode("utf-8", "surrogatepass"))
+        # backward sums from the words' ends, whose weight is 1
+        beta = np.zeros((n + 1, m), np.float32)
+        for i in range(n - 1, -1, -1):
+            k = min(wide, n - i)
+            x = p[i, :k]
+            x += beta[i + 1 : i + k + 1]
+            top = x.max(axis=0)
+            x -= top
+            np.exp(x, out=x)
+            total = x.sum(axis=0)
+            x /= total
+            p[i, k:] = 0
+            beta[i] = top + np.log(total)
         c = np.cumsum(p, axis=1)
         c[c >= c[:, -1:]] = 2.0  # rounding never passes the last edge
-        there = slice(self.used, self.used + n)
-        for name, x, fill in (("prob", p, 0), ("cum", c, 2.0), ("piece", piece, -1)):
+        there = slice(self.used, self.used + n * keep)
+        for name, x in (("prob", p), ("cum", c), ("piece", piece)):
+            getattr(self, name)[there, :wide] = x[:, :, :keep].transpose(2, 0, 1).reshape(n * keep, wide)
+        self.prob[there, wide:], self.cum[there, wide:] = 0, 2.0
+        self.used += n * keep
+
+    def make_room(self, keep: int = 2) -> None:
+        """Forgets the words met once, and, while the rest fills more than a third of the tables, those
+        met less often than others."""
+        n = len(self.number)
+        order = np.argsort(-self.uses[:n], kind="stable")
+        order = order[: int(np.searchsorted(-self.uses[order], -keep, "right"))]
+        order = np.sort(order[: int(np.searchsorted(np.cumsum(self.size[order]), CACHE_NODES // 3, "right"))])
+        size = self.size[order]
+        new = np.cumsum(size) - size
+        total = int(size.sum())
+        rows = np.repeat(self.first[order] - new, size) + np.arange(total)
+        for name in ("cum", "prob", "piece"):
             whole = getattr(self, name)
-            whole[there, :wide] = x
-            whole[there, wide:] = fill
-        for w, a in zip(words, first.tolist(), strict=True):
-            self.start[w] = self.used + a
-        self.used += n
-
-    def chunks(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """First node and last node + 1 of every word of every text."""
-        split = [_CHUNK.findall(t) for t in texts]
-        new = {w for words in split for w in words if w not in self.start}
-        if self.used + sum(map(len, new)) > CACHE_NODES and self.used:
-            self.clear()
-            new = {w for words in split for w in words}
-        if new:
-            self.add(list(new))
-        nodes = [np.fromiter(map(self.start.__getitem__, words), np.int64, len(words)) for words in split]
-        sizes = [np.fromiter(map(len, words), np.int64, len(words)) for words in split]
-        return nodes, [a + b for a, b in zip(nodes, sizes, strict=True)]
+            whole[:total] = whole[rows]
+        at = {int(self.first[k]): (int(a), int(z)) for k, a, z in zip(order, new, size, strict=True)} if self.bytes else {}
+        starts = np.array(sorted(at), np.int64)
+        old, self.bytes = self.bytes, {}
+        for node, char in old.items():
+            i = int(np.searchsorted(starts, node, "right")) - 1
+            if i >= 0 and node - (start := int(starts[i])) < at[start][1]:
+                self.bytes[at[start][0] + node - start] = char
+        words = list(self.number)
+        self.number = {words[k]: i for i, k in enumerate(order.tolist())}
+        self.first[: len(order)], self.size[: len(order)], self.uses[: len(order)] = new, size, self.uses[order] // 2
+        self.uses[len(order) :] = 0
+        self.used = total
+
+    def chunks(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First node and last node + 1 of every word, text by text, and each text's words."""
+        split = [split_words(t) for t in texts]
+        words = list(chain.from_iterable(split))
+        number = np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words))
+        lacking = np.flatnonzero(number < 0)
+        if len(lacking):
+            new = {words[i] for i in lacking.tolist()}
+            if self.used + sum(map(len, new)) + len(new) > CACHE_NODES and self.used:  # with their marks
+                self.make_room()
+                new = {w for w in words if w not in self.number}
+                self.add(list(new))
+                number = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+            else:
+                self.add(list(new))
+                number[lacking] = [self.number[words[i]] for i in lacking.tolist()]
+        self.uses[: len(self.number)] += np.bincount(number, minlength=len(self.number))
+        first = self.first[number]
+        return first, first + self.size[number], np.array([len(x) for x in split])
 
     def draw(self, node: np.ndarray, end: np.ndarray, *key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Draws a path from each node to its end: (number of steps, edges), the paths one
@@ -286,35 +362,38 @@ def _regions(lattices: Lattices, paths: list[Segmentation], since: np.ndarray, k
     q = lattices.prob.reshape(-1).take(np.concatenate([p.edge[a:b] for p, a, b in zip(paths, since, stop, strict=True)])).astype(np.float64)
     log_q = np.concatenate([p.log_q[a:b] for p, a, b in zip(paths, since, stop, strict=True)])
     ahead = np.array([p.log_q[:a].sum() for p, a in zip(paths, since, strict=True)])
-    total = np.cumsum(log_q) - log_q
-    before = total - (total[cut[of]] if len(of) else 0) + ahead[of]
+    place = np.arange(len(of)) - cut[of]
+    grid = np.zeros((len(paths), int(n.max(initial=0))))  # a row a path, so that a path's sums don't depend on its neighbours
+    grid[of, place] = log_q
+    before = (np.cumsum(grid, axis=1) - grid)[of, place] + ahead[of]
     with np.errstate(divide="ignore"):
         mass = before + np.log(np.where(q >= 1.0, 0.0, 1.0 - q))
-    step = np.arange(len(of)) - cut[of] + since[of]
+    step = place + since[of]
     value = _truncated(mass, np.array([p.score for p in paths])[of], _uniform(keys[of], np.uint64(1000 + turn), step.astype(np.uint64)))
-    out = []
+    out, more = [], []
     for i, p in enumerate(paths):
         mine = value[cut[i] : cut[i] + n[i]]
         if stop[i] < ends[i]:
             bound = before[cut[i] + n[i] - 1] + log_q[cut[i] + n[i] - 1] + GUMBEL_MAX
             if np.count_nonzero(mine > bound) <= k:
-                out += _regions(lattices, [p], since[i : i + 1], keys[i : i + 1], turn, k, 4 * first)
-                continue
+                more.append(i)
         # steps before `since` belong to the paths this one shares its beginning with
         out.append(np.concatenate([np.full(since[i], -np.inf), mine]))
+    if more:
+        again = _regions(lattices, [paths[i] for i in more], since[more], keys[more], turn, k, 4 * first)
+        for i, x in zip(more, again, strict=True):
+            out[i] = x
     return out
 
 
 def sample_segmentations(lattices: Lattices, texts: list[str], keys: np.ndarray, k: int = SAMPLES) -> list[tuple[list[Segmentation], float]]:
-    """For each text (in lattice form) up to k distinct segmentations, best first, and the
+    """For each text (none empty) up to k distinct segmentations, best first, and the
     value of the first one not drawn (-inf if there is none)."""
-    nodes, ends = lattices.chunks(texts)
+    node, end, count = lattices.chunks(texts)
     width = lattices.longest
-    count = np.array([len(x) for x in nodes])
     doc = np.repeat(np.arange(len(texts)), count)
     base = np.cumsum(count) - count
     word = np.arange(len(doc)) - base[doc]
-    node, end = np.concatenate(nodes), np.concatenate(ends)
     keys = keys.astype(np.uint64)
 
     # the best path of every text
@@ -378,23 +457,20 @@ def sample_segmentations(lattices: Lattices, texts: list[str], keys: np.ndarray,
     return list(zip(found, rest, strict=True))
 
 
-def to_lattice(text: str) -> str:
-    """Spaces become marks and a mark goes in front, as the model's own normaliser does."""
-    return SPACE + text.replace(SPACE, LITERAL).replace(" ", SPACE) if text else ""
-
-
-def path_ids(lattices: Lattices, path: Segmentation) -> np.ndarray:
-    ids = lattices.piece.reshape(-1).take(path.edge)
-    lacking = np.flatnonzero(ids < 0)
-    if len(lacking):
-        byte = lattices.vocab.byte_ids
-        parts, last = [], 0
-        for i in lacking.tolist():
-            char = lattices.bytes[int(path.edge[i]) // lattices.longest]
-            parts += [ids[last:i], byte[np.frombuffer(char.encode("utf-8", "surrogatepass"), np.uint8)]]
+def path_ids(lattices: Lattices, paths: list[Segmentation]) -> list[np.ndarray]:
+    """Piece ids of each path; a character the vocabulary lacks gives the ids of its bytes."""
+    ids = lattices.piece.reshape(-1).take(np.concatenate([p.edge for p in paths])).astype(np.int32)
+    stop = np.cumsum([len(p.edge) for p in paths])
+    out = [ids[z - len(p.edge) : z] for p, z in zip(paths, stop.tolist(), strict=True)]
+    byte = lattices.vocab.byte_ids
+    for j in np.unique(np.searchsorted(stop, np.flatnonzero(ids < 0), "right")).tolist():
+        mine, edge, parts, last = out[j], paths[j].edge, [], 0
+        for i in np.flatnonzero(mine < 0).tolist():
+            char = lattices.bytes[int(edge[i]) // lattices.longest]
+            parts += [mine[last:i], byte[np.frombuffer(char.encode("utf-8", "surrogatepass"), np.uint8)]]
             last = i + 1
-        ids = np.concatenate([*parts, ids[last:]])
-    return ids.astype(np.int32)
+        out[j] = np.concatenate([*parts, mine[last:]]).astype(np.int32)
+    return out
 
 
 def decode(vocab: Vocabulary, ids) -> str:
@@ -402,29 +478,25 @@ def decode(vocab: Vocabulary, ids) -> str:
     first mark goes."""
     if not len(ids):
         return ""
-    spaced, value = _decoded(vocab)
+    flat, start, size = _decoded(vocab)
     ids = np.asarray(ids)
-    at = np.flatnonzero(value[ids] >= 0)
-    if not len(at):
-        text = "".join(spaced[ids])
-    else:
-        out, last = [], 0
-        for run in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1):
-            out += spaced[ids[last : run[0]]].tolist()
-            out.append(bytes(value[ids[run]].astype(np.uint8)).decode("utf-8", "replace"))
-            last = run[-1] + 1
-        out += spaced[ids[last:]].tolist()
-        text = "".join(out)
+    n = size[ids]
+    stop = np.cumsum(n, dtype=np.int64)
+    at = np.repeat((start[ids] - stop + n).astype(np.int32), n)
+    at += np.arange(len(at), dtype=np.int32)
+    text = flat.take(at).tobytes().decode("utf-8", "replace")
     return text[1:] if text.startswith(" ") else text
 
 
-def _decoded(vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """What each piece decodes to, and the byte of each byte piece (else -1)."""
-    if not hasattr(vocab, "_spaced"):
-        vocab._spaced = np.array([p.replace(SPACE, " ") for p in vocab.pieces], object)
-        vocab._values = np.full(len(vocab.pieces), -1, np.int16)
-        vocab._values[vocab.byte_ids] = np.arange(256)
-    return vocab._spaced, vocab._values
+def _decoded(vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes that pieces decode to, one piece after the other, and each piece's first and number."""
+    if not hasattr(vocab, "_bytes"):
+        each = [p.replace(SPACE, " ").encode("utf-8", "surrogatepass") for p in vocab.pieces]
+        for value, i in enumerate(vocab.byte_ids.tolist()):
+            each[i] = bytes([value])
+        size = np.array([len(x) for x in each], np.int32)
+        vocab._bytes = np.frombuffer(b"".join(each), np.uint8), np.cumsum(size, dtype=np.int32) - size, size
+    return vocab._bytes
 
 
 def inclusion(log_p: float, threshold: float) -> float:
@@ -444,11 +516,13 @@ def encode_batch(lattices: Lattices, texts: list[str | None], keys: np.ndarray,
             chars += len(texts[full[hi]])
             hi += 1
         part = full[lo:hi]
-        for i, (paths, threshold) in zip(part, sample_segmentations(lattices, [to_lattice(texts[i]) for i in part], keys[part], k), strict=True):
+        drawn = sample_segmentations(lattices, [texts[i] for i in part], keys[part], k)
+        ids = iter(path_ids(lattices, [p for paths, _ in drawn for p in paths]))
+        for i, (paths, threshold) in zip(part, drawn, strict=True):
             out[i] = []
             for p in paths:
                 log_p = float(p.log_q.sum())
-                out[i].append({"ids": path_ids(lattices, p), "log_prob": log_p, "score": p.score, "inclusion": inclusion(log_p, threshold)})
+                out[i].append({"ids": next(ids), "log_prob": log_p, "score": p.score, "inclusion": inclusion(log_p, threshold)})
         lo = hi
     return out
 

@@ -516,7 +516,7 @@ def all_paths(vocab, text):
                 for rest, w in walk(s[n:]):
                     yield (index[s[:n]], *rest), vocab.weights[index[s[:n]]] + w
 
-    paths = dict(walk(sampled_pieces.to_lattice(text)))
+    paths = dict(walk(sampled_pieces.SPACE + text.replace(" ", sampled_pieces.SPACE)))
     z = np.logaddexp.reduce(list(paths.values()))
     return {k: math.exp(w - z) for k, w in paths.items()}
 
