@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.columns import col
 
-#: Input amounts: six integer digits, eighteen decimals.
-AMOUNT = "decimal(24,18)"
+#: Input amounts: ten integer digits, eighteen decimals. Discounts: eight decimals.
+AMOUNT = "decimal(28,18)"
+DISCOUNT = "decimal(10,8)"
 MILLION = "cast(1000000 as decimal(7,0))"
 
 
@@ -45,19 +46,26 @@ def amount(x: Column | str) -> Column:
 
 def too_large(x: Column | str) -> Column:
     """Whether a text is a number that `amount` can't hold exactly: to be counted, not lost."""
-    return col(x).cast("string").try_cast("double").isNotNull() & (col(x).cast("string").try_cast("double") >= 1e6) & amount(x).isNull()
+    value = col(x).cast("string").try_cast("double")
+    return F.coalesce((value >= 1e10) & (value < float("inf")), F.lit(False)) & amount(x).isNull()
 
 
 def per_million(x: Column) -> Column:
     """An amount a token as an amount a million tokens, exactly."""
-    return (x * F.expr(MILLION)).cast("decimal(38,18)")
+    return (x * F.expr(MILLION)).cast("decimal(34,18)")
+
+
+def discount_of(x: Column) -> Column:
+    """Text of a discount as an exact number, null for none. Over 1 and what is no finite
+    number are errors; a negative one is a surcharge."""
+    d = x.cast("string").try_cast(DISCOUNT)
+    wrong = F.when(x.isNotNull() & d.isNull(), "discount is not a finite number").when(d > 1, "discount is over 1")
+    return F.when(wrong.isNotNull(), F.raise_error(wrong).cast(DISCOUNT)).otherwise(d)
 
 
 def discounted(x: Column, discount: Column) -> Column:
-    """x * (1 - discount); a discount over 1 is an error, a negative one a surcharge."""
-    d = F.coalesce(discount, F.lit(0)).cast("decimal(6,4)")
-    checked = F.when(d > 1, F.raise_error(F.lit("discount is over 1")).cast("decimal(6,4)")).otherwise(d)
-    return (x.cast("decimal(28,14)") * (F.lit(1).cast("decimal(6,4)") - checked)).cast("decimal(38,18)")
+    """x * (1 - discount), for a discount by discount_of()."""
+    return (x * (F.lit(1).cast(DISCOUNT) - F.coalesce(discount, F.lit(0)).cast(DISCOUNT)).cast(DISCOUNT)).cast("decimal(38,18)")
 
 
 def decimal_text(x: Column | str) -> Column:
@@ -81,14 +89,22 @@ def url_host(x: Column | str) -> Column:
 
 
 def same_site(url: Column | str, domain: Column, path_prefix: Column | None = None) -> Column:
-    """Whether a URL's host is the domain (or its www.) and its path starts with the prefix."""
+    """Whether a web address (http or https) has the domain as its host (or with www.) and a
+    path that is the prefix or goes on below it."""
     host = F.regexp_replace(url_host(url), r"^www\.", "")
-    same = host == F.regexp_replace(F.lower(domain), r"^www\.", "")
+    web = F.lower(F.try_parse_url(col(url), F.lit("PROTOCOL"))).isin("http", "https")
+    same = web & (host == F.regexp_replace(F.lower(domain), r"^www\.", ""))
     if path_prefix is not None:
-        same = same & F.coalesce(F.try_parse_url(col(url), F.lit("PATH")), F.lit("")).startswith(path_prefix)
+        path, want = F.coalesce(F.try_parse_url(col(url), F.lit("PATH")), F.lit("")), F.rtrim(path_prefix, F.lit("/"))
+        same = same & ((want == "") | (F.rtrim(path, F.lit("/")) == want) | path.startswith(F.concat(want, F.lit("/"))))
     return F.coalesce(same, F.lit(False))
 
 
+def official_site(url: Column | str, reviewed: Column) -> Column:
+    """Whether a web address lies on a reviewed site: its host and, if it has one, its path."""
+    return same_site(url, url_host(reviewed), F.coalesce(F.try_parse_url(reviewed, F.lit("PATH")), F.lit("")))
+
+
 def dollars(cell: Column | str, discounted_cell: bool = False) -> Column:
     """The dollar amount of a table cell: `Free` is 0, one amount is it, of two in a
     discounted cell the last; anything else is null."""

@@ -231,7 +231,7 @@ ORACLES = {
     "json_props": "SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k FROM events",
     "unpivot_labels": "SELECT doc_id, 'quality' AS metric, quality AS score FROM labels WHERE quality IS NOT NULL UNION ALL SELECT doc_id, 'toxic', toxic FROM labels WHERE toxic IS NOT NULL",
     "page_title": "SELECT page_id, regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 'si') AS title FROM pages",
-    "page_visible_text": r"SELECT page_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(html, '<script\b.*?</script\s*>|<style\b.*?</style\s*>', ' ', 'gsi'), '<[^>]*>', ' ', 'gs'), '\s+', ' ', 'g'))) AS digest FROM pages",
+    "page_visible_text": r"SELECT page_id, md5(trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>', ' ', 'gsi'), '<[^>]*>', ' ', 'gs'), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&apos;', chr(39)), '&#39;', chr(39)), '&nbsp;', chr(160)), '&amp;', '&'), '\s+', ' ', 'g'))) AS digest FROM pages",
     "page_links": """SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href FROM pages""",
     "space_collapse": r"SELECT item_id, md5(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS digest FROM benchmark",
     "unmatched_documents": "SELECT doc_id FROM documents ANTI JOIN labels USING (doc_id)",

@@ -86,10 +86,18 @@ def table_records(rows: DataFrame, id_col: str, header: list[str]) -> DataFrame:
     return body.select(id_col, "row_no", F.map_from_arrays(F.array(*map(F.lit, header)), "cells").alias("record"))
 
 
+# Fixed values of HTML: character references, the ampersand last.
+REFERENCES = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "#39": "'", "nbsp": "\u00a0", "amp": "&"}
+
+
 def visible_text(page: Column | str) -> Column:
-    """Text outside script and style, white space collapsed."""
-    x = F.regexp_replace(col(page), r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>", " ")
-    return collapse_space(F.regexp_replace(x, r"(?s)<[^>]*>", " "))
+    """Text outside comments, script and style, the common character references decoded, white
+    space collapsed."""
+    x = F.regexp_replace(col(page), r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>", " ")
+    x = F.regexp_replace(x, r"(?s)<[^>]*>", " ")
+    for name, char in REFERENCES.items():
+        x = F.replace(x, F.lit(f"&{name};"), F.lit(char))
+    return collapse_space(x)
 
 
 def page_title(page: Column | str) -> Column:

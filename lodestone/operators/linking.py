@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.functions.scalars import blank_to_null, same_site, stable_id
+from lodestone.functions.scalars import blank_to_null, last_segment, official_site, same_site, stable_id
 
 
 def reasons(checks: dict[str, Column]) -> Column:
@@ -19,13 +19,17 @@ def decided(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
 
 
 def verify_institutions(candidates: DataFrame) -> DataFrame:
-    """Candidates (openalex_id, display_name, ror, type, homepage_domains, entity struct of
-    id, display_name, ror, homepage_url, type, ids) against the retrieved record."""
+    """Candidates (organization_id, organization_name, local_id, local_name, openalex_id,
+    display_name, ror, type, homepage_domains, wikidata, entity struct of id, display_name,
+    ror, homepage_url, type, ids) against the retrieved record. local_id and local_name are
+    what was reviewed, organization_* what the catalog has now."""
     e = lambda p: F.col(f"entity.{p}")
+    qid = last_segment(F.rtrim(e("ids.wikidata"), F.lit("/")))
     return decided(candidates, {
-        "id": e("id") == F.col("openalex_id"), "name": e("display_name") == F.col("display_name"), "ror": e("ror") == F.col("ror"), "type": e("type") == F.col("type"),
-        "homepage": F.exists("homepage_domains", lambda d: same_site(e("homepage_url"), d)), "ids.openalex": e("ids.openalex") == F.col("openalex_id"),
-        "ids.ror": e("ids.ror") == F.col("ror"), "ids.wikidata": F.col("wikidata").isNull() | (e("ids.wikidata") == F.col("wikidata")),
+        "local id": F.col("organization_id") == F.col("local_id"), "local name": F.col("organization_name") == F.col("local_name"),
+        "id": (e("id") == F.col("openalex_id")) & (e("ids.openalex") == F.col("openalex_id")), "name": e("display_name") == F.col("display_name"), "type": e("type") == F.col("type"),
+        "ror": (e("ror") == F.col("ror")) & (e("ids.ror") == F.col("ror")), "homepage": F.exists("homepage_domains", lambda d: same_site(e("homepage_url"), d)),
+        "wikidata": blank_to_null("wikidata").isNull() | (qid == F.col("wikidata")),
     })
 
 
@@ -35,14 +39,16 @@ def current_claims(claims: Column) -> Column:
 
 
 def verify_items(candidates: DataFrame) -> DataFrame:
-    """Candidates (qid, names, entity_kind, instance_of, websites, path_prefix, entity struct
-    of id, label, p31, p856) against the retrieved item: the site must match by host, and
-    where a product shares its host, by path."""
-    sites = current_claims(F.col("entity.p856"))
+    """Candidates (local_id, local_name, local_kind, locals array of (id, name), qid, names,
+    entity_kind, instance_of, websites, entity struct of id, labels, aliases, p31, p856)
+    against the retrieved item. The local record must be one that was reviewed, by id and
+    name; a label or an alias must be a reviewed name; the site must match by host, and where
+    a product shares its host, by path."""
+    names = F.concat(*(F.coalesce(F.col(f"entity.{c}"), F.array().cast("array<string>")) for c in ("labels", "aliases")))
     return decided(candidates, {
-        "id": F.col("entity.id") == F.col("qid"), "kind": F.col("entity_kind").isin("organization", "service"), "name": F.array_contains("names", F.col("entity.label")),
-        "instance": F.arrays_overlap("instance_of", current_claims(F.col("entity.p31"))),
-        "website": F.exists(sites, lambda s: F.exists("websites", lambda w: same_site(s, w, F.coalesce(F.col("path_prefix"), F.lit(""))))),
+        "local": F.exists("locals", lambda x: (x["id"] == F.col("local_id")) & (x["name"] == F.col("local_name"))), "kind": F.col("local_kind") == F.col("entity_kind"),
+        "id": F.col("entity.id") == F.col("qid"), "name": F.arrays_overlap("names", names), "instance": F.arrays_overlap("instance_of", current_claims(F.col("entity.p31"))),
+        "website": F.exists(current_claims(F.col("entity.p856")), lambda s: F.exists("websites", lambda w: official_site(s, w))),
         "evidence": F.col("entity").isNotNull(),
     })
 

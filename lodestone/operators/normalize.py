@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from lodestone.functions.scalars import amount, blank_to_null, decimal_text, discounted, iri, per_million, stable_id
+from lodestone.functions.scalars import DISCOUNT, amount, blank_to_null, decimal_text, discount_of, discounted, iri, per_million, stable_id, too_large
 
 # Price categories counted in tokens, and the units of the others.
 TOKEN_CATEGORIES = ["prompt", "completion", "input_cache_read", "input_cache_write", "input_cache_write_1h"]
@@ -54,11 +54,12 @@ def explode_prices(offers: DataFrame, pricing: str = "pricing", per_million_alre
     Null, blank, non-numeric, infinite and negative rates give no row, zero does. Token
     rates are converted to a million tokens. An override's rates are rows of tier
     `override`; it has the base discount unless it brings its own, and its other fields are
-    kept as conditions. A discount over 1 is an error.
+    kept as conditions. A discount that is over 1 or no finite number is an error, and so is
+    a rate of more than ten integer digits: neither is lost.
     """
     keep = [F.col(c) for c in ("offering_id", "document_id", "observed_at") if c in offers.columns]
     base = offers.select(*keep, F.from_json(pricing, "map<string,string>").alias("m"))
-    off = F.element_at("m", "discount").try_cast("decimal(6,4)")
+    off = discount_of(F.element_at("m", "discount"))
     overrides = F.from_json(F.element_at("m", "overrides"), "array<map<string,string>>")
     has = F.size(F.coalesce(overrides, F.array().cast("array<map<string,string>>"))) > 0
     notes = F.nullif(F.concat_ws("; ", F.when(F.coalesce(off, F.lit(0)) != 0, F.concat(F.lit("Discount "), decimal_text(off), F.lit(" is applied."))), F.when(has, F.lit("Base rates; overrides apply."))), F.lit(""))
@@ -68,15 +69,16 @@ def explode_prices(offers: DataFrame, pricing: str = "pricing", per_million_alre
     known = F.map_filter("m", lambda k, _: k.isin(TOKEN_CATEGORIES + list(OTHER_UNITS)))
     extra = F.map_filter("m", lambda k, _: ~k.isin([*TOKEN_CATEGORIES, *OTHER_UNITS, "overrides"]))
     second = over.select(
-        *keep, F.coalesce(F.element_at("m", "discount").try_cast("decimal(6,4)"), F.col("base_discount")).alias("discount"),
+        *keep, F.coalesce(discount_of(F.element_at("m", "discount")), F.col("base_discount")).alias("discount"),
         F.concat(F.lit("Override: "), F.to_json(F.map_from_entries(F.array_sort(F.map_entries(extra))))).alias("conditions"), F.lit("override").alias("tier"),
         F.element_at("m", "min_prompt_tokens").try_cast("bigint").alias("min_prompt_tokens"), F.explode(known).alias("category", "raw_amount"),
     )
     rows = first.unionByName(second).withColumn("unit", price_unit(F.col("category")))
-    value = amount("raw_amount")
-    scaled = value.cast("decimal(38,18)") if per_million_already else F.when(F.col("unit") == "million_tokens", per_million(value)).otherwise(value.cast("decimal(38,18)"))
+    value = F.when(too_large("raw_amount"), F.raise_error(F.lit("a rate has more than ten integer digits")).cast("decimal(28,18)")).otherwise(amount("raw_amount"))
+    wide = value.cast("decimal(34,18)")
+    scaled = wide if per_million_already else F.when(F.col("unit") == "million_tokens", per_million(value)).otherwise(wide)
     rows = rows.where(value.isNotNull()).withColumn("amount", discounted(scaled, F.col("discount")))
-    rows = rows.withColumn("currency", F.lit("USD")).withColumn("discount", F.coalesce("discount", F.lit(0).cast("decimal(6,4)")))
+    rows = rows.withColumn("currency", F.lit("USD")).withColumn("discount", F.coalesce("discount", F.lit(0).cast(DISCOUNT)))
     identity = ["offering_id", "category", "amount", "unit", "conditions", "tier", "min_prompt_tokens"] + (["document_id"] if "document_id" in rows.columns else [])
     return rows.withColumn("id", F.concat(F.lit("price/"), stable_id(*identity))).dropDuplicates(["id"])
 
@@ -106,7 +108,7 @@ def family_of(slug: Column) -> Column:
     """Family by the slug's prefix; of two developers some names are families of their own."""
     prefix, rest = model_prefix(slug), F.regexp_replace(slug, "^[^/]*/", "")
     table = F.create_map(*[F.lit(x) for k, (_, f) in DEVELOPERS.items() for x in (k, f)])
-    return F.when((prefix == "google") & rest.startswith("gemma"), "Gemma").when((prefix == "openai") & rest.rlike("^(o1|o3|o4)"), "o-series").otherwise(F.coalesce(F.try_element_at(table, prefix), prefix))
+    return F.when((prefix == "google") & F.contains(rest, F.lit("gemma")), "Gemma").when((prefix == "openai") & rest.rlike("^(o1|o3|o4)"), "OpenAI o-series").otherwise(F.coalesce(F.try_element_at(table, prefix), prefix))
 
 
 def service_mode(slug: Column) -> Column:
@@ -126,7 +128,7 @@ def catalog_models(catalog: DataFrame) -> DataFrame:
     rows = dedupe_last(catalog, ["id"], "seq") if "seq" in catalog.columns else catalog
     slug = F.col("id")
     return rows.select(
-        iri("model", slug).alias("id"), slug.alias("source_id"), "name", blank_to_null("description").alias("description"), iri("family", family_of(slug)).alias("family_id"), family_of(slug).alias("family_name"),
+        iri("model", slug).alias("id"), slug.alias("source_id"), "name", blank_to_null("description").alias("description"), iri("family", F.concat_ws(":", model_prefix(slug), family_of(slug))).alias("family_id"), family_of(slug).alias("family_name"),
         iri("organization", F.concat(F.lit("developer:"), model_prefix(slug))).alias("developer_id"), developer_of(slug).alias("developer_name"), F.timestamp_seconds(F.col("created").try_cast("bigint")).alias("catalog_created"), "hugging_face_id",
     )
 
@@ -145,12 +147,21 @@ def catalog_benchmarks(catalog: DataFrame) -> DataFrame:
     return rows.select("model_id", F.concat_ws(":", "owner", "metric").alias("benchmark"), amount("score").alias("score")).where(F.col("score").isNotNull())
 
 
+#: What tells two endpoints of a model under one tag apart.
+CONFIGURATION = ("name", "quantization", "context_length", "max_prompt_tokens", "max_completion_tokens")
+
+
 def endpoint_offerings(endpoints: DataFrame) -> DataFrame:
     """Offerings of endpoint records (slug, name, tag, provider_name, supported_parameters,
-    context_length, ...): equal tag and configuration of a model are one offering."""
-    config = stable_id(F.to_json(F.struct(F.array_sort(F.coalesce("supported_parameters", F.array().cast("array<string>"))).alias("p"), "context_length", "quantization")))
-    key = F.concat_ws(":", F.lit("endpoint"), "slug", F.coalesce(blank_to_null("tag"), blank_to_null("name"), F.lit("-")), config)
-    out = endpoints.select(iri("offering", key).alias("id"), iri("model", "slug").alias("model_id"), iri("organization", F.concat(F.lit("host:"), "provider_name")).alias("provider_id"), "provider_name", "name", F.lit("endpoint").alias("kind"), service_mode(F.col("slug")).alias("mode"), "context_length", F.col("tag").alias("endpoint_tag"), "quantization")
+    and those of CONFIGURATION that there are): equal tag and configuration of a model are
+    one offering. Without a tag or a name, a digest of the whole record stands for the tag."""
+    parts = [F.col(c) for c in CONFIGURATION if c in endpoints.columns]
+    config = stable_id(*parts, F.to_json(F.array_sort(F.coalesce("supported_parameters", F.array().cast("array<string>")))))
+    whole = F.sha2(F.to_json(F.struct(*[c for c in sorted(endpoints.columns) if c != "slug"])), 256)
+    tag = F.coalesce(blank_to_null("tag"), blank_to_null("name"), whole)
+    key = F.concat_ws(":", F.lit("endpoint"), "slug", tag, config)
+    provider = F.coalesce(blank_to_null("provider_name"), F.lit("Unknown provider"))
+    out = endpoints.select(iri("offering", key).alias("id"), iri("model", "slug").alias("model_id"), iri("organization", F.concat(F.lit("host:"), provider)).alias("provider_id"), provider.alias("provider_name"), F.coalesce("name", tag).alias("name"), F.lit("endpoint").alias("kind"), service_mode(F.col("slug")).alias("mode"), "context_length", F.col("tag").alias("endpoint_tag"), "quantization")
     return out.dropDuplicates(["id"])
 
 

@@ -52,8 +52,8 @@ def infer_types(triples: DataFrame, schema: dict[str, DataFrame]) -> DataFrame:
     union (a blank node) infers no member class. One pass suffices: the subclass closure is
     taken first, and types give no new edges."""
     asserted = triples.where(F.col("p") == RDF_TYPE).select("s", F.col("o").alias("cls"))
-    by_domain = triples.join(F.broadcast(schema["domain"]), "p").select("s", "cls")
-    by_range = triples.where(F.col("o_kind") != "literal").join(F.broadcast(schema["range"]), "p").select(F.col("o").alias("s"), "cls")
+    by_domain = triples.join(schema["domain"], "p").select("s", "cls")
+    by_range = triples.where(F.col("o_kind") != "literal").join(schema["range"], "p").select(F.col("o").alias("s"), "cls")
     direct = asserted.unionByName(by_domain).unionByName(by_range).distinct()
     up = subclass_closure(schema["subclass"])
     return direct.unionByName(direct.join(up, direct.cls == up["sub"]).select("s", F.col("super").alias("cls"))).distinct()

@@ -57,7 +57,10 @@ class Compiler:
             if kinds:
                 domain[t.o.name] = domain.get(t.o.name, kinds) & kinds
         for t in triples:
-            if isinstance(t.p, Iri):
+            back = self.graph.owned(t.p.value) if isinstance(t.p, Iri) and isinstance(t.o, Var) else None
+            if back:
+                stars.setdefault(t.o, []).append(Triple(t.o, Iri(back), t.s))
+            elif isinstance(t.p, Iri):
                 stars.setdefault(t.s, []).append(t)
             else:
                 others.append(t)

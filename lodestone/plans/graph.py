@@ -13,6 +13,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestone.plans.sparql import RDF_TYPE
 
@@ -20,6 +21,7 @@ RDFS = "http://www.w3.org/2000/01/rdf-schema#"
 OWL = "http://www.w3.org/2002/07/owl#"
 PROV = "http://www.w3.org/ns/prov#"
 SCHEMA = "https://schema.org/"
+XSD = "http://www.w3.org/2001/XMLSchema#"
 DCTERMS = "http://purl.org/dc/terms/"
 VOCAB = "urn:lodestone:vocab#"
 
@@ -36,6 +38,16 @@ def _as(df: DataFrame, s, o: str, s_name: str, o_name: str) -> DataFrame:
     return df.select(F.col(s).alias(s_name), F.col(o).alias(o_name))
 
 
+#: Before a predicate: the pattern is read from its object, whose table has the subject as a column.
+OWNED_BY = "owned-by:"
+
+
+def datatype_of(t: T.DataType) -> str:
+    """The literal datatype that values of a column have."""
+    kinds = [(T.StringType, "string"), (T.BooleanType, "boolean"), (T.IntegralType, "integer"), (T.DecimalType, "decimal"), (T.FractionalType, "double"), (T.DateType, "date"), ((T.TimestampType, T.TimestampNTZType), "dateTime")]
+    return XSD + next((name for kind, name in kinds if isinstance(t, kind)), "string")
+
+
 @dataclass
 class Entity:
     """One kind of subject.
@@ -53,9 +65,10 @@ class Entity:
     multi: dict[str, DataFrame] = field(default_factory=dict)
     resources: frozenset[str] = frozenset()
     class_column: str | None = None  # a column naming the class, if rows differ
+    owner: dict[str, str] = field(default_factory=dict)  # predicate that points here from another kind -> the column of that subject
 
     def has(self, p: str) -> bool:
-        return p == RDF_TYPE or p in self.single or p in self.multi
+        return p == RDF_TYPE or p in self.single or p in self.multi or p.removeprefix(OWNED_BY) in self.owner and p.startswith(OWNED_BY)
 
 
 class EntityGraph:
@@ -65,10 +78,17 @@ class EntityGraph:
         known = {p for e in entities for p in (*e.single, *e.multi)} | {c for e in entities for c in e.classes}
         self._local = {local_name(x): x for x in sorted(known)}
         self._known = known | {RDF_TYPE}
+        self._owners = {p for e in entities for p in e.owner}
+
+    def owned(self, iri: str) -> str | None:
+        """The predicate to look for at the object's own table instead, if there is one: a
+        reverse edge then is a column of one scan and not a join."""
+        p = self.resolve(iri)
+        return OWNED_BY + p if p in self._owners else None
 
     def resolve(self, iri: str) -> str:
         """A term of the graph by its IRI or, under another namespace, by its local name."""
-        return iri if iri in self._known else self._local.get(local_name(iri), iri)
+        return iri if iri in self._known or iri.startswith(OWNED_BY) else self._local.get(local_name(iri), iri)
 
     def target(self, iri: str) -> set[str] | None:
         """Kinds that the values of a predicate are of, if that is known."""
@@ -98,8 +118,8 @@ class EntityGraph:
                     columns.append(F.col(e.class_column).alias(name))
                 else:
                     columns.append(F.explode(F.array(*map(F.lit, e.classes))).alias(name) if len(e.classes) > 1 else F.lit(e.classes[0]).alias(name))
-            elif p in e.single:
-                columns.append(F.col(e.single[p]).alias(name))
+            elif p in e.single or p.startswith(OWNED_BY):
+                columns.append(F.col(e.single[p] if p in e.single else e.owner[p.removeprefix(OWNED_BY)]).alias(name))
                 checks.append(name)
             else:
                 joined.append((p, name))
@@ -117,20 +137,24 @@ class EntityGraph:
         return df
 
     def triples(self, domain: set[str] | None = None) -> DataFrame:
-        """(s, p, o as text, o_kind: iri or literal) of the whole graph: one narrow branch a
-        predicate, with the predicate a constant, so a filter on it prunes the others."""
+        """(s, p, o as text, o_kind: iri or literal, o_dtype of literals) of the whole graph:
+        one narrow branch a predicate, with the predicate a constant, so a filter on it prunes
+        the others."""
         out = []
+
+        def kind(e: Entity, p: str, frame: DataFrame, c: str) -> list[Column]:
+            dtype = None if p in e.resources else datatype_of(frame.schema[c].dataType)
+            return [F.lit("iri" if p in e.resources else "literal").alias("o_kind"), F.lit(dtype).cast("string").alias("o_dtype")]
+
         for e in self.entities.values():
             if domain is not None and e.name not in domain:
                 continue
             cls = F.col(e.class_column) if e.class_column else F.explode(F.array(*map(F.lit, e.classes)))
-            out.append(e.frame.select(F.col(e.key).alias("s"), F.lit(RDF_TYPE).alias("p"), cls.alias("o"), F.lit("iri").alias("o_kind")))
+            out.append(e.frame.select(F.col(e.key).alias("s"), F.lit(RDF_TYPE).alias("p"), cls.alias("o"), F.lit("iri").alias("o_kind"), F.lit(None).cast("string").alias("o_dtype")))
             for p, c in e.single.items():
-                kind = "iri" if p in e.resources else "literal"
-                out.append(e.frame.where(F.col(c).isNotNull()).select(F.col(e.key).alias("s"), F.lit(p).alias("p"), F.col(c).cast("string").alias("o"), F.lit(kind).alias("o_kind")))
+                out.append(e.frame.where(F.col(c).isNotNull()).select(F.col(e.key).alias("s"), F.lit(p).alias("p"), F.col(c).cast("string").alias("o"), *kind(e, p, e.frame, c)))
             for p, f in e.multi.items():
-                kind = "iri" if p in e.resources else "literal"
-                out.append(f.where(F.col("o").isNotNull()).select("s", F.lit(p).alias("p"), F.col("o").cast("string").alias("o"), F.lit(kind).alias("o_kind")))
+                out.append(f.where(F.col("o").isNotNull()).select("s", F.lit(p).alias("p"), F.col("o").cast("string").alias("o"), *kind(e, p, f, "o")))
         return union_all(out)
 
 
@@ -143,6 +167,9 @@ class TripleGraph:
     def resolve(self, iri: str) -> str:
         return iri
 
+    def owned(self, iri: str) -> str | None:
+        return None
+
     def target(self, iri: str) -> set[str] | None:
         return None
 

@@ -51,7 +51,8 @@ def silver_graph(tables: dict[str, DataFrame]) -> EntityGraph:
     """The graph of the given tables; tables and columns that are absent have no triples.
 
     A resource-valued or literal observation also gives the direct triple (subject,
-    predicate, value); links give owl:sameAs; offerings give the reverse edge to prices.
+    predicate, value); links give owl:sameAs. An offering's prices are found by the prices'
+    own column for it.
     """
     out = []
     multi: dict[str, dict[str, DataFrame]] = {}
@@ -75,7 +76,7 @@ def silver_graph(tables: dict[str, DataFrame]) -> EntityGraph:
         platform = "is_service" if "is_service" in df.columns else None
         if platform:
             df = df.withColumn("__class", F.when(F.col(platform), F.lit(SERVICE)).otherwise(F.lit(cls)))
-        out.append(Entity(name, (cls, SERVICE) if platform else (cls,), df, "id", has, multi.get(name, {}), RESOURCES, "__class" if platform else None))
+        out.append(Entity(name, (cls, SERVICE) if platform else (cls,), df, "id", has, multi.get(name, {}), RESOURCES, "__class" if platform else None, {VOCAB + "hasPrice": "offering_id"} if name == "prices" and "offering_id" in df.columns else {}))
     return EntityGraph(out, TARGETS)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import time
 from collections.abc import Callable, Iterator
-from urllib.parse import quote, urlsplit
+from urllib.parse import quote, urljoin, urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -184,15 +184,20 @@ def read_graph(spark: SparkSession, paths: list[str]) -> DataFrame:
 # Paged and fanned-out catalogs: the fetcher is passed in, so tests need no network.
 
 
+#: Status codes after which a fetch is repeated.
+RETRIED = (429, 500, 502, 503, 504)
+
+
 def with_retry(fetch: Callable[[str], bytes], attempts: int = 3, pause: Callable[[float], None] = time.sleep) -> Callable[[str], bytes]:
-    """Repeats a fetch that fails with OSError (network errors, 429, 5xx), waiting 1 s, then 2 s."""
+    """Repeats a fetch that fails for the moment, waiting 1 s, then 2 s: network errors, and of
+    errors with a status (`code`) those of RETRIED; others, such as 404, are final."""
 
     def run(url: str) -> bytes:
         for k in range(attempts):
             try:
                 return fetch(url)
-            except OSError:
-                if k + 1 == attempts:
+            except OSError as error:
+                if k + 1 == attempts or getattr(error, "code", None) not in (None, *RETRIED):
                     raise
                 pause(2.0**k)
         raise AssertionError
@@ -216,7 +221,8 @@ def catalog_pages(start: str, fetch: Callable[[str], bytes], load: Callable[[byt
         if not isinstance(rows, list) or not rows or any(not isinstance(r, dict) or not r.get("id") for r in rows):
             raise ValueError(f"no list of rows with ids: {url}")
         yield url, raw, rows
-        url = (page.get("links") or {}).get("next")
+        follow = (page.get("links") or {}).get("next")
+        url = urljoin(url, follow) if follow else None
 
 
 def endpoint_url(base: str, slug: str) -> str:

@@ -35,6 +35,9 @@ def prices(spark, pricing, **kw):
     ({"prompt": "0.000005", "discount": -0.2}, [("prompt", "6", "million_tokens", "base")]),
     ({"prompt": "0.000002", "overrides": [{"min_prompt_tokens": 272000, "prompt": "0.000004"}]}, [("prompt", "2", "million_tokens", "base"), ("prompt", "4", "million_tokens", "override")]),
     ({"audio": "3"}, [("audio", "3", "unknown", "base")]),
+    ({"prompt": "0.000001", "discount": 0.12345}, [("prompt", "0.87655", "million_tokens", "base")]),
+    ({"request": "0.000000000000001234", "image": "1500000"}, [("image", "1500000", "image", "base"), ("request", "0.000000000000001234", "request", "base")]),
+    ({"prompt": "1500000"}, [("prompt", "1500000000000", "million_tokens", "base")]),
 ])
 def test_prices(spark, pricing, want):
     assert prices(spark, pricing) == want
@@ -45,6 +48,34 @@ def test_discount_over_one_is_an_error(spark):
         prices(spark, {"prompt": "1", "discount": 1.2})
 
 
+@pytest.mark.parametrize(("pricing", "said"), [({"prompt": "1", "discount": "NaN"}, "finite"), ({"prompt": "1", "discount": "x"}, "finite"), ({"prompt": "12345678901"}, "ten integer digits")])
+def test_amounts_are_not_lost(spark, pricing, said):
+    with pytest.raises(Exception, match=said):
+        prices(spark, pricing)
+
+
+def test_families_and_endpoints(spark):
+    slugs = spark.createDataFrame([("google/code-gemma-2",), ("google/gemini-2",), ("openai/gpt-5",)], "id string")
+    assert [r[0] for r in slugs.select(normalize.family_of(F.col("id"))).collect()] == ["Gemma", "Gemini", "GPT"]
+    schema = "slug string, name string, tag string, provider_name string, quantization string, context_length long, max_prompt_tokens long, max_completion_tokens long, supported_parameters array<string>"
+    rows = [("a/b", "N", "t", "P", "fp8", 10, 5, 5, ["x", "y"]), ("a/b", "N", "t", "P", "fp8", 10, 6, 5, ["x", "y"]), ("a/b", "N", "t", "P", "fp8", 10, 5, 5, ["y", "x"]), ("a/b", None, None, None, None, 1, None, None, None), ("a/b", None, "", None, None, 2, None, None, None)]
+    out = normalize.endpoint_offerings(spark.createDataFrame(rows, schema)).collect()
+    assert len(out) == 4 and {r["provider_name"] for r in out} == {"P", "Unknown provider"}
+
+
+def test_sites(spark):
+    df = spark.createDataFrame([("https://www.co.test/prod/", True), ("https://co.test/prod/x", True), ("https://co.test/product-x", False), ("ftp://co.test/prod", False), ("https://co.test", False), (None, False)], "url string, want boolean")
+    rows = df.select("want", scalars.official_site("url", F.lit("https://co.test/prod")).alias("got"), scalars.official_site("url", F.lit("https://CO.test/")).alias("host")).collect()
+    assert all(r["want"] == r["got"] for r in rows) and [r["host"] for r in rows] == [True, True, True, False, True, False]
+
+
+def test_institutions(spark):
+    schema = "organization_id string, organization_name string, local_id string, local_name string, openalex_id string, display_name string, ror string, type string, homepage_domains array<string>, wikidata string, entity struct<id string, display_name string, ror string, homepage_url string, type string, ids struct<openalex string, ror string, wikidata string>>"
+    entity = ("A1", "Co", "r", "https://www.co.test/x", "company", ("A1", "r", "https://www.wikidata.org/entity/Q1"))
+    rows = [("o", "Co", "o", "Co", "A1", "Co", "r", "company", ["co.test"], "Q1", entity), ("p", "Co 2", "o", "Co", "A1", "Co", "r", "company", ["co.test"], "Q2", entity)]
+    assert [r["reasons"] for r in linking.verify_institutions(spark.createDataFrame(rows, schema)).collect()] == [[], ["local id", "local name", "wikidata"]]
+
+
 def test_price_of_a_million_is_not_scaled_again(spark):
     assert prices(spark, {"prompt": "5"}, per_million_already=True) == [("prompt", "5", "million_tokens", "base")]
 
@@ -69,7 +100,7 @@ def test_catalog_rows(spark):
     cat = spark.createDataFrame(rows, "seq int, id string, created string, j string").select("seq", "id", "created", F.col("id").alias("name"), F.lit("").alias("description"), F.lit(None).cast("string").alias("hugging_face_id"))
     got = {r["source_id"]: r for r in normalize.catalog_models(cat).collect()}
     assert len(got) == 4
-    assert {k: (r["developer_name"], r["family_name"]) for k, r in got.items()} == {"openai/o3-mini": ("OpenAI", "o-series"), "google/gemma-3": ("Google", "Gemma"), "~anthropic/claude:batch": ("Anthropic", "Claude"), "new/thing": ("new", "new")}
+    assert {k: (r["developer_name"], r["family_name"]) for k, r in got.items()} == {"openai/o3-mini": ("OpenAI", "OpenAI o-series"), "google/gemma-3": ("Google", "Gemma"), "~anthropic/claude:batch": ("Anthropic", "Claude"), "new/thing": ("new", "new")}
     assert got["openai/o3-mini"]["catalog_created"] and not got["google/gemma-3"]["catalog_created"] and got["new/thing"]["catalog_created"] and got["new/thing"]["description"] is None
     assert spark.range(1).select(normalize.service_mode(F.lit("a:batch"))).first()[0] == "batch"
 
@@ -104,11 +135,13 @@ def test_html_tables(spark):
 
 
 def test_linking(spark):
-    rows = [("Q1", ["Co"], "organization", ["Q43229"], ["https://co.test"], None, ("Q1", "Co", [("Q43229", "normal")], [("https://www.co.test/", "normal")])), ("Q1", ["Co"], "organization", ["Q43229"], ["https://co.test"], None, ("Q1", "Other", [("Q43229", "deprecated")], [("https://evil.test", "normal")]))]
-    schema = "qid string, names array<string>, entity_kind string, instance_of array<string>, websites array<string>, path_prefix string, entity struct<id string, label string, p31 array<struct<value string, rank string>>, p856 array<struct<value string, rank string>>>"
-    df = spark.createDataFrame(rows, schema).withColumn("websites", F.transform("websites", lambda u: scalars.url_host(u)))
-    good, bad = linking.verify_items(df).orderBy(F.size("reasons")).collect()
-    assert good["accepted"] and good["reasons"] == [] and bad["reasons"] == ["name", "instance", "website"]
+    base = ("l1", "Co", "organization", [("l1", "Co")], "Q1", ["Co Inc"], "organization", ["Q43229"], ["https://co.test"])
+    item = ("Q1", ["Co"], ["Co Inc"], [("Q43229", "normal")], [("https://www.co.test/", "normal")])
+    other = ("Q1", ["Other"], None, [("Q43229", "deprecated")], [("https://evil.test", "normal")])
+    rows = [(*base, item), (*base, other), ("l1", "Renamed", "service", *base[3:], item)]
+    schema = "local_id string, local_name string, local_kind string, locals array<struct<id string, name string>>, qid string, names array<string>, entity_kind string, instance_of array<string>, websites array<string>, entity struct<id string, labels array<string>, aliases array<string>, p31 array<struct<value string, rank string>>, p856 array<struct<value string, rank string>>>"
+    got = [r["reasons"] for r in linking.verify_items(spark.createDataFrame(rows, schema)).collect()]
+    assert got == [[], ["name", "instance", "website"], ["local", "kind"]]
     manifest = spark.createDataFrame([("a", "x"), ("../b", "x"), ("c", "x")], "file string, sha256 string").withColumn("sha256", F.when(F.col("file") == "a", F.sha2(F.lit(b"1"), 256)).otherwise("x"))
     blobs = spark.createDataFrame([("a", b"1"), ("c", b"tampered")], "file string, content binary")
     assert {r["file"]: r["accepted"] for r in linking.replay_evidence(manifest, blobs).collect()} == {"a": True, "../b": False, "c": False}
