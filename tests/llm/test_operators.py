@@ -210,10 +210,51 @@ def test_html():
         html_region.main_text(empty, weights)
 
 
+def test_html_region_is_the_best():
+    """The scan against all contiguous regions; ties go to the first and shortest."""
+    rng = np.random.default_rng(9)
+    for n in [*range(8), *[30] * 200]:
+        score = [float(x) for x in rng.integers(-4, 5, n)]
+        sums = {(a, b): sum(score[a:b]) for a in range(n) for b in range(a + 1, n + 1)}
+        a, b = html_region.best_region(score)
+        assert sum(score[a:b]) == max([0.0, *sums.values()])
+        if (a, b) != (0, 0):
+            assert b == min(y for (_, y), v in sums.items() if v == sums[a, b])
+    assert html_region.best_region([1.0, -1.0, 1.0]) == (0, 1) and html_region.best_region([-1.0, 0.0]) == (0, 0)
+
+
+def test_html_weights_decide():
+    """Unlisted parts go because labelled pages show them outside; other weights, other text."""
+    page = '<body><div class="zzmenu"><p>one two three</p></div><article><p>A first text.</p></article><div class="zzmenu"><p>four five</p></div><article><p>The second text.</p></article></body>'
+    bare = page.replace("article", "section").replace("A first text.", "A first text of some length, " * 3 + "that goes on.").replace("The second text.", "The second text, " * 5 + "and so on.")
+    weights = html_region.Weights.learn([page] * 30)
+    assert weights.element["zzmenu"] < html_region.OUTSIDE and "<p>" not in {f for f, x in weights.element.items() if x < 0}
+    assert html_region.main_text(page, weights) == "A first text.\nThe second text."  # all articles of a page
+    assert html_region.main_text(bare, weights) == "A first text of some length, " * 3 + "that goes on.\n" + "The second text, " * 5 + "and so on."
+    assert "four five" in html_region.main_text(bare, html_region.Weights())
+    turned = html_region.Weights.learn([page.replace("article", "x").replace('div class="zzmenu"', "article").replace("</div>", "</article>")] * 30)
+    assert html_region.main_text(page.replace("article", "x"), turned) != html_region.main_text(page.replace("article", "x"), weights)
+    # a prior is outweighed by labelled pages
+    said = '<body><nav>menu</nav><article><div class="widget"><p>' + "word " * 90 + "</p></div></article></body>"
+    assert html_region.main_text(said, html_region.Weights.learn([])) == "" and "word" in html_region.main_text(said, html_region.Weights(element={**html_region.Weights.learn([]).element, "widget": 1.0}))
+
+
+def test_html_parts():
+    weights = html_region.Weights.learn([PAGE])
+    text = lambda x: html_region.main_text(f"<body><article>{x}</article></body>", weights)
+    assert text('<div class="article-header"><h1>Title here</h1></div><p>Body text.</p>') == "Title here\nBody text."
+    assert text('<p>Body text.</p><article class="comment"><p>I disagree</p></article><p class="byline">By me<p>More.') == "Body text.\nMore."
+    assert text('<p>Read <a href="#">the link</a> now.</p><div class="post-navigation"><a href="#">next one</a></div>') == "Read the link now."
+    long = " ".join(f"w{i}" for i in range(20000))
+    assert text(f"<p>{long}</p>") == long
+
+
 def test_html_rows(spark):
     df = spark.createDataFrame([(1, "u", PAGE, "x"), (2, None, None, "x"), (2, None, None, "x"), (3, "v", "<p>a" * 500, "x")], "page_id long, url string, html string, text string")
     rows = html_region.extract_main_text(df, html_region.learn_weights(df)).collect()
     assert sorted((r["page_id"], r["n_chars"], len(r["text"])) for r in rows) == [(1, len(ARTICLE), len(ARTICLE)), (2, 0, 0), (2, 0, 0), (3, 999, 999)]
+    empty = df.limit(0)
+    assert html_region.extract_main_text(empty, html_region.learn_weights(empty)).count() == 0
 
 
 def brute_overlaps(texts, items):
