@@ -49,7 +49,8 @@ class Compiler:
             return df.where(c.try_cast(NUMBER) == F.lit(str(value)).cast(NUMBER))
         return df.where(c.cast("string") == F.lit(str(value)))
 
-    def bgp(self, triples: list[Triple], df: DataFrame | None, domain: dict[str, set[str]]) -> DataFrame:
+    def bgp(self, triples: list[Triple], df: DataFrame | None, domain: dict[str, set[str]], maybe: list[Triple] | None = None) -> DataFrame:
+        """Solutions of all patterns; `maybe`: optional ones that may be read along."""
         stars: dict[Any, list[Triple]] = {}
         others = []
         for t in triples:  # what a value must be narrows the scans of its own patterns
@@ -64,14 +65,14 @@ class Compiler:
                 stars.setdefault(t.s, []).append(t)
             else:
                 others.append(t)
-        frames = [self.star(s, ts, domain) for s, ts in stars.items()] + [self.odd(t, domain) for t in others]
+        frames = [self.star(s, ts, domain, [t for t in maybe or [] if t.s == s]) for s, ts in stars.items()] + [self.odd(t, domain) for t in others]
         # take next what shares a variable, so that no product arises
         while frames:
             k = 0 if df is None else next((i for i, f in enumerate(frames) if set(f.columns) & set(df.columns)), 0)
             df = self.join(df, frames.pop(k))
         return df
 
-    def star(self, s: Any, triples: list[Triple], domain: dict[str, set[str]]) -> DataFrame:
+    def star(self, s: Any, triples: list[Triple], domain: dict[str, set[str]], maybe: list[Triple]) -> DataFrame:
         subject = s.name if isinstance(s, Var) else self.name("s")
         names, wanted, fixed, equal = [], [], [], []
         for t in triples:
@@ -91,7 +92,7 @@ class Compiler:
                     cls = self.term(t.o)
                     fits = {e.name for e in self.graph.entities.values() if cls in e.classes}
                     before = fits if before is None else before & fits
-        df, kinds = self.graph.star(subject, wanted, before)
+        df, kinds = self.graph.star(subject, wanted, before, [(t.p.value, t.o.name) for t in maybe])
         if df is None:  # no kind has them all: each pattern by itself
             df = None
             for p, name in wanted:
@@ -142,18 +143,47 @@ class Compiler:
         ends = step.select(F.col("o").alias("s")).unionByName(step.select("s"))
         return step.select("s", "o").unionByName(ends.select("s", F.col("s").alias("o"))).distinct()
 
+    @staticmethod
+    def single(part: Any) -> bool:
+        """Whether a part is OPTIONAL with one pattern between two variables."""
+        inner = part[1].parts if isinstance(part, tuple) and part[0] == "optional" else []
+        if len(inner) != 1 or not isinstance(inner[0], list) or len(inner[0]) != 1:
+            return False
+        t = inner[0][0]
+        return isinstance(t.s, Var) and isinstance(t.p, Iri) and isinstance(t.o, Var) and t.s != t.o
+
+    def read_along(self, parts: list[Any], k: int, df: DataFrame | None) -> list[Triple]:
+        """Optional patterns right after the patterns at `k` whose value no other part before
+        or among them binds: on a single-valued predicate they are a nullable column of the
+        subject's own scan instead of a join."""
+        bound = {x.name for t in parts[k] for x in (t.s, t.p, t.o) if isinstance(x, Var)} | set(df.columns if df is not None else [])
+        out = []
+        for part in parts[k + 1 :]:
+            if isinstance(part, tuple) and part[0] == "filter":
+                continue
+            if not self.single(part):
+                break
+            t = part[1].parts[0][0]
+            if t.o.name in bound or not self.graph.resolve(t.p.value) or self.graph.owned(t.p.value):
+                break
+            bound.add(t.o.name)
+            out.append(t)
+        return out
+
     def group(self, g: Group, df: DataFrame | None = None, domain: dict[str, set[str]] | None = None) -> DataFrame:
         """Solutions of a group that extend `df`. A branch sees the variables bound before it."""
         domain = {} if domain is None else domain
         filters = []
-        for part in g.parts:
+        for k, part in enumerate(g.parts):
             if isinstance(part, list):
-                df = self.bgp(part, df, domain)
+                df = self.bgp(part, df, domain, self.read_along(g.parts, k, df))
                 continue
             kind = part[0]
             if kind == "filter":
                 filters.append(part[1])
             elif kind == "optional":
+                if self.single(part) and df is not None and part[1].parts[0][0].o.name in df.columns:
+                    continue  # read along with its subject
                 right = self.group(part[1], None, dict(domain))
                 df = right if df is None else self.join(df, right, "left")
             elif kind == "union":

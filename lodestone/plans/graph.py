@@ -94,12 +94,14 @@ class EntityGraph:
         """Kinds that the values of a predicate are of, if that is known."""
         return self._targets.get(self.resolve(iri))
 
-    def star(self, subject: str, wanted: list[tuple[str, str]], domain: set[str] | None = None) -> tuple[DataFrame | None, set[str]]:
+    def star(self, subject: str, wanted: list[tuple[str, str]], domain: set[str] | None = None, maybe: list[tuple[str, str]] | None = None) -> tuple[DataFrame | None, set[str]]:
         """All patterns (predicate, column name) on one subject: rows with the columns
-        `subject` and each name, and the kinds of subject that can match. One scan a kind."""
+        `subject` and each name, and the kinds of subject that can match. One scan a kind.
+        Of `maybe`, those that are columns of every kind are read along and may be null."""
         wanted = [(self.resolve(p), name) for p, name in wanted]
         kinds = [e for e in self.entities.values() if (domain is None or e.name in domain) and all(e.has(p) for p, _ in wanted)]
-        return (union_all(self._aligned([self._star(e, subject, wanted) for e in kinds])) if kinds else None), {e.name for e in kinds}
+        extra = [(q, name) for q, name in ((self.resolve(p), name) for p, name in maybe or []) if all(q in e.single for e in kinds)]
+        return (union_all(self._aligned([self._star(e, subject, wanted, extra) for e in kinds])) if kinds else None), {e.name for e in kinds}
 
     @staticmethod
     def _aligned(frames: list[DataFrame]) -> list[DataFrame]:
@@ -109,8 +111,8 @@ class EntityGraph:
         mixed = [c for c in frames[0].columns if len({f.schema[c].dataType for f in frames}) > 1]
         return [f.withColumns({c: F.col(c).cast("string") for c in mixed}) if mixed else f for f in frames]
 
-    def _star(self, e: Entity, subject: str, wanted: list[tuple[str, str]]) -> DataFrame:
-        columns: list[Column] = [F.col(e.key).alias(subject)]
+    def _star(self, e: Entity, subject: str, wanted: list[tuple[str, str]], maybe: list[tuple[str, str]]) -> DataFrame:
+        columns: list[Column] = [F.col(e.key).alias(subject), *(F.col(e.single[p]).alias(name) for p, name in maybe)]
         joined, checks = [], []
         for p, name in wanted:
             if p == RDF_TYPE:
@@ -173,7 +175,7 @@ class TripleGraph:
     def target(self, iri: str) -> set[str] | None:
         return None
 
-    def star(self, subject: str, wanted: list[tuple[str, str]], domain: set[str] | None = None) -> tuple[DataFrame | None, set[str]]:
+    def star(self, subject: str, wanted: list[tuple[str, str]], domain: set[str] | None = None, maybe: list[tuple[str, str]] | None = None) -> tuple[DataFrame | None, set[str]]:
         df = None
         for p, name in wanted:
             one = _as(self.rows.where(F.col("p") == p), "s", "o", subject, name)
