@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.scalars import collapse_space, decimal_text, last_segment, percent_encode
 from lodestone.operators import export, html, linking, normalize, reason, shapes
-from lodestone.plans.graph import VOCAB
+from lodestone.plans.compiler import query
+from lodestone.plans.graph import RDFS, VOCAB
 from lodestone.plans.silver import DOCUMENT_KIND, silver_graph, star_tables
 from lodestone.queries import TABLES
 from lodestone.sources.sinks import ntriples_lines
@@ -205,6 +206,47 @@ def grouping_rollup(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "lineitem").rollup("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("l_quantity").cast("bigint")).alias("quantity"))
 
 
+def grouping_cube(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "lineitem").cube("l_returnflag", "l_linestatus").agg(F.grouping_id().cast("bigint").alias("level"), F.count(F.lit(1)).alias("n"))
+
+
+def conditional_sums(spark: SparkSession, d: str) -> DataFrame:
+    """Counts and sums under conditions, by status, in one pass."""
+    late, quantity = F.col("l_linestatus") == "F", F.col("l_quantity").cast("bigint")
+    return _t(spark, d, "lineitem").groupBy("l_returnflag").agg(F.count_if(late).alias("n_final"), F.sum(F.when(late, quantity).otherwise(0)).alias("final_quantity"), F.count_if(F.col("l_discount") > 0).alias("n_discounted"))
+
+
+def set_operations(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers' and customers' nations: intersection and differences."""
+    a, b = _t(spark, d, "supplier").select(F.col("s_nationkey").alias("nation")), _t(spark, d, "customer").select(F.col("c_nationkey").alias("nation"))
+    tagged = {"both": a.intersect(b), "suppliers": a.exceptAll(b).distinct(), "customers": b.subtract(a)}
+    out = [df.withColumn("side", F.lit(k)) for k, df in tagged.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+def limited_enrichment(spark: SparkSession, d: str) -> DataFrame:
+    """The rows a limited enrichment takes first: flagged ones, then the largest, then by id."""
+    docs = _t(spark, d, "documents").select("doc_id", "lang", "n_chars")
+    return docs.orderBy((F.col("lang") == "de").desc_nulls_last(), F.col("n_chars").desc_nulls_last(), "doc_id").limit(100)
+
+
+_REVERSED = f"""SELECT ?o ?kind WHERE {{ ?m ^<{VOCAB}offersModel> ?o . ?m <{VOCAB}sourceId> ?sid . OPTIONAL {{ ?o <{VOCAB}serviceMode> ?mode . BIND(?mode AS ?kind) }}
+  MINUS {{ ?o <{VOCAB}serviceMode> "batch" }} FILTER(CONTAINS(?sid, "/7")) }}"""
+
+
+def inverse_path_minus(spark: SparkSession, d: str) -> DataFrame:
+    """An inverse path, a BIND inside OPTIONAL, and MINUS, by the query language."""
+    return query(silver_graph({k: v for k, v in star_tables(spark, d).items() if k in ("models", "offerings")}), _REVERSED)
+
+
+_EITHER = f"""PREFIX rdfs: <{RDFS}> SELECT ?x ?label WHERE {{ {{ ?x a <{VOCAB}AIModel> ; rdfs:label ?label }} UNION {{ ?x a <{VOCAB}ModelFamily> ; rdfs:label ?label }} FILTER(CONTAINS(LCASE(?label), "1")) }}"""
+
+
+def either_kind(spark: SparkSession, d: str) -> DataFrame:
+    """UNION of two kinds of subject."""
+    return query(silver_graph({k: v for k, v in star_tables(spark, d).items() if k in ("models", "families")}), _EITHER)
+
+
 def html_tables(spark: SparkSession, d: str) -> DataFrame:
     """Cells of tables built from the nations, through the table function."""
     row = F.concat(F.lit("<tr><td> "), "n_name", F.lit("</td><td>$"), F.col("n_nationkey").cast("string"), F.lit(".5</td></tr>"))
@@ -217,7 +259,7 @@ def html_tables(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     effective_price, price_exploder, dedupe_last, dedupe_first, iri_encode, sha256_docs, json_props, unpivot_labels, page_title, page_visible_text, page_links, space_collapse,
     unmatched_documents, pair_set_diff, link_reasons, dangling_fk, duplicate_ids, count_parity, shape_report, shape_max_count, shape_xone, subclass_closure, range_inference,
-    disjoint_violations, nested_catalog, org_degrees, search_facet, stats, latest_fact, triple_counts, ntriples_export, grouping_rollup, html_tables,
+    disjoint_violations, nested_catalog, org_degrees, search_facet, stats, latest_fact, triple_counts, ntriples_export, grouping_rollup, html_tables, grouping_cube, conditional_sums, set_operations, limited_enrichment, inverse_path_minus, either_kind,
 )}
 
 _W = f"WITH {TABLES.strip()} "
@@ -253,6 +295,12 @@ ORACLES = {
     "latest_fact": _W + "SELECT subject_id, predicate, id FROM (SELECT *, row_number() OVER (PARTITION BY subject_id, predicate ORDER BY observed_at DESC, id) AS n FROM facts) WHERE n = 1",
     "ntriples_export": _W + f"SELECT '<' || id || '> <{V}linkTarget> <' || target || '> .' AS line FROM links",
     "grouping_rollup": "SELECT l_returnflag, l_linestatus, count(*) AS n, sum(l_quantity::BIGINT)::BIGINT AS quantity FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)",
+    "grouping_cube": "SELECT l_returnflag, l_linestatus, grouping(l_returnflag, l_linestatus)::BIGINT AS level, count(*) AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)",
+    "conditional_sums": "SELECT l_returnflag, count(*) FILTER (l_linestatus = 'F') AS n_final, coalesce(sum(l_quantity::BIGINT) FILTER (l_linestatus = 'F'), 0)::BIGINT AS final_quantity, count(*) FILTER (l_discount > 0) AS n_discounted FROM lineitem GROUP BY l_returnflag",
+    "set_operations": "WITH a AS (SELECT DISTINCT s_nationkey AS nation FROM supplier), b AS (SELECT DISTINCT c_nationkey AS nation FROM customer), ea AS (SELECT DISTINCT nation FROM (SELECT s_nationkey AS nation FROM supplier EXCEPT ALL SELECT c_nationkey FROM customer)) SELECT nation, 'both' AS side FROM a WHERE nation IN (FROM b) UNION ALL SELECT nation, 'suppliers' FROM ea UNION ALL SELECT nation, 'customers' FROM b WHERE nation NOT IN (FROM a)",
+    "limited_enrichment": "SELECT doc_id, lang, n_chars FROM documents ORDER BY (lang = 'de') DESC NULLS LAST, n_chars DESC NULLS LAST, doc_id LIMIT 100",
+    "inverse_path_minus": _W + "SELECT o.id AS o, mode AS kind FROM offers o JOIN models m ON m.id = o.model_id WHERE contains(source_id, '/7') AND mode <> 'batch'",
+    "either_kind": _W + "SELECT id AS x, name AS label FROM models WHERE contains(lower(name), '1') UNION ALL SELECT DISTINCT family_id, family_name FROM models WHERE contains(lower(family_name), '1')",
     "html_tables": "SELECT n_regionkey, n_name AS name, 'prompt' AS category, n_nationkey || '.5' AS raw_amount FROM nation",
     "price_exploder": """WITH p AS (SELECT p_partkey AS offering_id, ('0.0000' || p_size)::DECIMAL(24,18) AS rate, p_size, CASE WHEN p_partkey % 2 = 0 THEN 0.25 ELSE 0 END AS off, p_partkey % 5 = 0 AS has FROM part),
         r AS (SELECT offering_id, 'prompt' AS category, 'million_tokens' AS unit, 'base' AS tier, NULL::BIGINT AS min_prompt_tokens, (rate * 1000000)::DECIMAL(28,14) * (1 - off) AS amount FROM p

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,12 +14,14 @@ SUBCLASS, DOMAIN, RANGE, DISJOINT, SAME = RDFS + "subClassOf", RDFS + "domain",
 
 
 def _kept(df: DataFrame) -> DataFrame:
-    """Cuts lineage by a checkpoint in the shared folder, which outlives lost executors."""
+    """Cuts lineage by a checkpoint in the shared folder, which outlives lost executors. Only
+    a local session without the setting takes a folder of its own."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lodestone-"))
+        root = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not root and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(root or "file://" + tempfile.mkdtemp(prefix="lodestone-"))
     return df.checkpoint(eager=True)
 
 

@@ -186,6 +186,10 @@ class Compiler:
                     continue  # read along with its subject
                 right = self.group(part[1], None, dict(domain))
                 df = right if df is None else self.join(df, right, "left")
+            elif kind == "minus":
+                gone = self.group(part[1])
+                if df is not None and set(df.columns) & set(gone.columns):  # without a common variable nothing goes
+                    df = self.join(df, gone, "left_anti")
             elif kind == "union":
                 branches = [self.group(b, df, dict(domain)) for b in part[1]]
                 out = branches[0]

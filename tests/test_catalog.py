@@ -270,3 +270,43 @@ def test_streaming(spark, tmp_path):
     q.awaitTermination(120)
     last = max((tmp_path / "out").glob("version=*"), key=lambda p: int(p.name.split("=")[1]))
     assert spark.read.parquet(str(last)).count() == 2
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from lodestone import ask
+
+    graph, text = tmp_path / "g.nt", tmp_path / "q.rq"
+    graph.write_text(f'<{X}a> <{X}p> "v" .\n<{X}a> <http://www.w3.org/2002/07/owl#sameAs> <{X}b> .\n<{X}c> <{X}p> "w" .\n<{X}c> <{X}q> "x" .\n')
+    text.write_text(f"SELECT ?s ?v WHERE {{ ?s <{X}p> ?v MINUS {{ ?s <{X}q> ?x }} MINUS {{ ?other <{X}q> ?y }} }} ORDER BY ?s")
+    assert ask.main([str(text), "--graph", str(graph)]) == 0
+    assert capsys.readouterr().out == f"s,v\n{X}a,v\n"
+    assert ask.answer(spark, text.read_text(), [str(graph)], reason=True) == f"s,v\n{X}a,v\n{X}b,v\n"
+
+
+def test_retry_and_pages():
+    class Status(OSError):
+        def __init__(self, code):
+            self.code = code
+
+    def failing(code, calls):
+        def fetch(url):
+            calls.append(url)
+            raise Status(code)
+
+        return fetch
+
+    for code, times in ((404, 1), (429, 3), (503, 3), (None, 3)):
+        calls = []
+        with pytest.raises(OSError):
+            readers.with_retry(failing(code, calls), pause=lambda s: None)("u")
+        assert len(calls) == times
+    pages = {"http://h/c": {"data": [{"id": 1}], "links": {"next": "?page=2"}}, "http://h/c?page=2": {"data": [{"id": 2}]}}
+    assert [r["id"] for _, _, rows in readers.catalog_pages("http://h/c", lambda u: u.encode(), lambda b: pages[b.decode()]) for r in rows] == [1, 2]
+
+
+def test_reverse_edges_need_no_join(spark, sf_dir):
+    """Prices are found by their offering's column: no identifier of a price is computed."""
+    from lodestone.queries import queries
+
+    plan = queries()["cheap_topk"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "sha2(" not in plan and plan.count("l_extendedprice") > 0
