@@ -15,10 +15,14 @@ WORD_SPACE = " \t\n\x0b\x0c\r"
 def shared_root(spark: SparkSession) -> str:
     """The folder that every executor sees, as `spark.checkpoint.dir` names it.
 
-    Only where the setting is absent (local tests) a folder of our own is set.
+    Only where the setting is absent in a local session (tests) a folder of our own is set;
+    on a cluster its absence is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="lodestone-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")

@@ -70,13 +70,18 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "bits_a_byte")
 
 
-#: Model file of op10; any BPE model with byte pieces will do.
+#: Model file of op10 where the setting `lodestone.piece.model` names none; any BPE model with
+#: byte pieces will do.
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
-def op10_sampled_pieces(spark: SparkSession, sf_dir: str, model: str = PIECE_MODEL) -> DataFrame:
+def piece_model(spark: SparkSession) -> str:
+    return spark.conf.get("lodestone.piece.model", PIECE_MODEL)
+
+
+def op10_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct sampled segmentations of every document, with the check that they decode to it."""
-    vocab = sampled_pieces.load_vocabulary(spark, model)
+    vocab = sampled_pieces.load_vocabulary(spark, piece_model(spark))
     return sampled_pieces.encode_documents(table(spark, sf_dir, "documents"), vocab)
 
 

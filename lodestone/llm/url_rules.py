@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestone.llm.common import Scratch
+
 RULE_SCHEMA = T.StructType([T.StructField("rule", T.StringType()), T.StructField("verdict", T.StringType())])
 
 #: Rule lists up to this many rows are broadcast; longer ones are joined by a shuffle.
@@ -55,7 +57,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     the default. Repeated rows are judged once and each is returned. Empty tables give
     an empty result; columns other than the two named are ignored.
     """
-    spark = pages.sparkSession
+    scratch = Scratch(pages.sparkSession, "urls")
     src = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"))
     host, path = url_parts(F.col("url"))
     known = parse_rules(rules)
@@ -82,11 +84,12 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     ).withColumn("short", F.substring("r_digest", 1, SHORT))
     if n_rules <= BROADCAST_RULES:
         listed = F.broadcast(listed)
-    best = (
+    best = scratch.save(
         expanded.join(listed, "short").where(F.col("digest") == F.col("r_digest"))
         .groupBy("url").agg(F.max(F.struct("rank", "verdict")).alias("best"))
-        .select("url", F.col("best.rank.rule").alias("rule"), F.col("best.verdict").alias("verdict"))
-    )
+        .select("url", F.col("best.rank.rule").alias("rule"), F.col("best.verdict").alias("verdict")),
+        "best",
+    )  # written, so that the join below can split a URL that many rows have, or those without one
     out = src.join(best, "url", "left")
     return out.select(
         F.col("id").alias(id_col), host.alias("host"), path.alias("path"), "rule",
