@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm import decontam, minhash, ppm, sampled_pieces, templates
 from lodestone.llm.common import Scratch, crc_mod, table
-from lodestone.llm.queries import PIECE_MODEL
+from lodestone.llm.queries import piece_model
 
 #: Texts whose language is predicted with less certainty than this are rejected.
 LEAST_SCORE = 0.5
@@ -56,7 +56,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document's sampled segmentations: doc_id, samples, round_trip; null samples for a
     null text, one sample without pieces for the empty one, a row for each repeated row."""
-    return sampled_pieces.encode_documents(docs, sampled_pieces.load_vocabulary(spark, PIECE_MODEL), "doc_id", "text")
+    return sampled_pieces.encode_documents(docs, sampled_pieces.load_vocabulary(spark, piece_model(spark)), "doc_id", "text")
 
 
 STAGES = [
