@@ -69,7 +69,8 @@ def recurring_lines(docs: DataFrame, scratch: Scratch, text_col: str = "text") -
 
     templates: leaf, template (hash of the constant words and their positions), n_docs
     (documents of different text with a line of it), first (the least key of these) for
-    every recurring template. places: key, pos, leaf, body, first of every line of one.
+    every recurring template. places: key, pos, leaf, body, first of every line of one,
+    repeated for copies of a text.
     """
     where = scratch.save(_lines(docs, text_col), "where")  # repeated for copies of a text
     # pairs (leaf, document), each once, so that the counts are counts of documents
@@ -95,7 +96,8 @@ def recurring_lines(docs: DataFrame, scratch: Scratch, text_col: str = "text") -
     marked = each.join(constant, ["leaf", "p", "token"]).groupBy("leaf", "body", "n").agg(F.array_sort(F.collect_list(F.struct((-F.col("s")).alias("s"), "p", "token"))).alias("words")).where(F.size("words") >= least)
     chosen = F.array_sort(F.transform(F.slice("words", F.lit(1), least), lambda x: F.struct(x["p"].alias("p"), x["token"].alias("token"))))
     of_line = scratch.save(marked.select("leaf", "body", F.xxhash64(chosen).alias("template")), "of_line")
-    lines = scratch.save(where.join(of_line, ["leaf", "body"]).select("key", "pos", "n", "leaf", "body", "template").distinct(), "lines")
+    # rows of copies repeat here; made distinct only after the join, which can split a frequent line
+    lines = scratch.save(where.join(of_line, ["leaf", "body"]).select("key", "pos", "n", "leaf", "body", "template"), "lines")
     counted = lines.select("leaf", "template", "n", "key").distinct().groupBy("leaf", "template", "n").agg(F.count(F.lit(1)).alias("n_docs"), F.min("key").alias("first"))
     templates = scratch.save(counted.where(F.col("n_docs") >= _needed(F.col("n"))).drop("n"), "templates")
     return templates, lines.join(templates.drop("n_docs"), ["leaf", "template"]).select("key", "pos", "leaf", "body", "first")
