@@ -78,7 +78,9 @@ def recurring_lines(docs: DataFrame, scratch: Scratch, text_col: str = "text") -
     salts = F.explode(F.array(*(F.lit(i) for i in range(SALTS))))
     support = scratch.save(support.select("leaf", salts.alias("salt")), "support")
     salted = where.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int"))
-    once = salted.join(support, ["leaf", "salt"], "left_semi").groupBy("leaf", "body", "key").agg(F.min("pos").alias("pos"), F.first("n").alias("n"))
+    # merged: a leaf's rows compress so well in the file that its size, by which Spark would
+    # choose to broadcast, says little of what the driver would hold
+    once = salted.join(support.hint("merge"), ["leaf", "salt"], "left_semi").groupBy("leaf", "body", "key").agg(F.min("pos").alias("pos"), F.first("n").alias("n"))
     weight = once.groupBy("leaf", "body").agg(F.count(F.lit(1)).alias("n_docs"), F.min(F.struct("key", "pos")).alias("at"), F.first("n").alias("n"))
     weight = scratch.save(weight, "weight")
     # the tokens of every distinct line of the leaves in question, from one text that has it

@@ -34,3 +34,12 @@ def test_stages(spark, sf_dir):
         else:
             assert {r["doc_id"] for r in rows} == set(before) and all(r["round_trip"] for r in rows)
         docs, before = out, after
+
+
+def test_line_dedup_leaves_are_not_broadcast(spark, sf_dir, monkeypatch):
+    """The leaves that may recur, by salt, grow with the corpus and must not meet in the driver,
+    whatever the size of their file."""
+    plans, save = {}, Scratch.save
+    monkeypatch.setattr(Scratch, "save", lambda self, df, name: plans.update({name: df._jdf.queryExecution().executedPlan().toString()}) or save(self, df, name))
+    corpus_pipeline.line_dedup(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), sf_dir)
+    assert "SortMergeJoin" in plans["weight"] and "Broadcast" not in plans["weight"]
