@@ -78,8 +78,8 @@ def recurring_lines(docs: DataFrame, scratch: Scratch, text_col: str = "text") -
     salts = F.explode(F.array(*(F.lit(i) for i in range(SALTS))))
     support = scratch.save(support.select("leaf", salts.alias("salt")), "support")
     salted = where.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int"))
-    # merged: a leaf's rows compress so well in the file that its size, by which Spark would
-    # choose to broadcast, says little of what the driver would hold
+    # here and below merged: the files' sizes, by which Spark would choose to broadcast, say
+    # little of what the driver would hold (a leaf's rows compress to a byte each)
     once = salted.join(support.hint("merge"), ["leaf", "salt"], "left_semi").groupBy("leaf", "body", "key").agg(F.min("pos").alias("pos"), F.first("n").alias("n"))
     weight = once.groupBy("leaf", "body").agg(F.count(F.lit(1)).alias("n_docs"), F.min(F.struct("key", "pos")).alias("at"), F.first("n").alias("n"))
     weight = scratch.save(weight, "weight")
@@ -95,14 +95,14 @@ def recurring_lines(docs: DataFrame, scratch: Scratch, text_col: str = "text") -
     constant = scratch.save(constant, "constant")  # written, so that the join below can split a frequent word
     # a line's constant words, the most frequent first; of these, as few as a template needs
     least = F.ceil(F.col("n") * CONSTANT_PCT / 100).cast("int")
-    marked = each.join(constant, ["leaf", "p", "token"]).groupBy("leaf", "body", "n").agg(F.array_sort(F.collect_list(F.struct((-F.col("s")).alias("s"), "p", "token"))).alias("words")).where(F.size("words") >= least)
+    marked = each.join(constant.hint("merge"), ["leaf", "p", "token"]).groupBy("leaf", "body", "n").agg(F.array_sort(F.collect_list(F.struct((-F.col("s")).alias("s"), "p", "token"))).alias("words")).where(F.size("words") >= least)
     chosen = F.array_sort(F.transform(F.slice("words", F.lit(1), least), lambda x: F.struct(x["p"].alias("p"), x["token"].alias("token"))))
     of_line = scratch.save(marked.select("leaf", "body", F.xxhash64(chosen).alias("template")), "of_line")
     # rows of copies repeat here; made distinct only after the join, which can split a frequent line
-    lines = scratch.save(where.join(of_line, ["leaf", "body"]).select("key", "pos", "n", "leaf", "body", "template"), "lines")
+    lines = scratch.save(where.join(of_line.hint("merge"), ["leaf", "body"]).select("key", "pos", "n", "leaf", "body", "template"), "lines")
     counted = lines.select("leaf", "template", "n", "key").distinct().groupBy("leaf", "template", "n").agg(F.count(F.lit(1)).alias("n_docs"), F.min("key").alias("first"))
     templates = scratch.save(counted.where(F.col("n_docs") >= _needed(F.col("n"))).drop("n"), "templates")
-    return templates, lines.join(templates.drop("n_docs"), ["leaf", "template"]).select("key", "pos", "leaf", "body", "first")
+    return templates, lines.join(templates.drop("n_docs").hint("merge"), ["leaf", "template"]).select("key", "pos", "leaf", "body", "first")
 
 
 def drop_recurring_lines(docs: DataFrame, text_col: str = "text") -> DataFrame:

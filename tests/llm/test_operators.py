@@ -402,6 +402,14 @@ def test_line_templates_passages_of_two(spark):
     assert sum(passage in t for t in out) == 1 and sum(shorter in t for t in out) == 2 and sum(single in t for t in out) == 3
 
 
+def test_line_templates_broadcast_nothing(documents, monkeypatch):
+    """Every table of the operator grows with the corpus: none goes through the driver."""
+    plans, save = {}, Scratch.save
+    monkeypatch.setattr(Scratch, "save", lambda self, df, name: plans.update({name: df._jdf.queryExecution().executedPlan().toString()}) or save(self, df, name))
+    plans["result"] = templates.drop_recurring_lines(documents)._jdf.queryExecution().executedPlan().toString()
+    assert len(plans) > 9 and not [name for name, plan in plans.items() if "Broadcast" in plan]
+
+
 def test_line_templates_empty(documents):
     assert templates.drop_recurring_lines(documents.limit(0)).count() == 0
 
