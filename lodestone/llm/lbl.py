@@ -11,12 +11,14 @@ few enough contexts that one batched matrix product normalises every one of them
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -39,30 +41,30 @@ ROUNDS, LEAST_DRAWS, TASK_DRAWS = 4, 1500 * BATCH, 128 * BATCH
 END = np.uint64(0x9AE16A3B2F90404F)
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """Lower-cased (A-Z) runs without ASCII white space."""
-    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
-
-
 def _suffix(word: bytes) -> int:
     return zlib.crc32(word[-2:]) % SUFFIX
 
 
-def _hashed(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a batch: distinct hashes, their suffix classes, the place of every token among
-    them, the first token of every text and its number of tokens (ends included)."""
-    split = [words_of(t) for t in texts]
-    size = np.array([len(w) + 1 for w in split], np.int64)
+def _hashed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a batch: distinct hashes (the end last), their suffix classes, the place of every token
+    among them, the first token of every text and its number of tokens (ends included).
+
+    Words are lower-cased (A-Z) runs without ASCII white space; each distinct one is hashed once.
+    """
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    flat, text = split.flatten(), pc.list_parent_indices(split)
+    real = pc.greater(pc.binary_length(flat), 0)  # white space at either end leaves an empty word
+    coded, text = flat.filter(real).dictionary_encode(), text.filter(real).to_numpy()
+    size = np.bincount(text, minlength=len(texts)) + 1
     start = np.cumsum(size) - size
-    flat = [w for words in split for w in words]
-    h = np.full(int(size.sum()), END, np.uint64)
-    body = np.ones(len(h), bool)
+    words = coded.dictionary.cast(pa.large_binary()).to_pylist()
+    distinct = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    cls = np.fromiter(map(_suffix, words), np.int16, len(words))
+    place = np.full(int(size.sum()), len(words), np.int64)
+    body = np.ones(len(place), bool)
     body[start + size - 1] = False
-    h[body] = np.fromiter(map(xxhash.xxh3_64_intdigest, flat), np.uint64, len(flat))
-    distinct, first, place = np.unique(h, return_index=True, return_inverse=True)
-    rank = np.cumsum(body) - 1  # of each token among the words
-    cls = np.array([-1 if x == END else _suffix(flat[rank[i]]) for x, i in zip(distinct, first, strict=True)], np.int16)
-    return distinct, cls, place, start, size
+    place[body] = coded.indices.to_numpy()
+    return np.append(distinct, END), np.append(cls, np.int16(-1)), place, start, size
 
 
 def token_counts(docs: DataFrame, text_col: str) -> DataFrame:
@@ -71,7 +73,7 @@ def token_counts(docs: DataFrame, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in (whole.slice(i, 2500) for i in range(0, whole.num_rows, 2500)):
-                h, cls, place, _, _ = _hashed(b.column(0).to_pylist())
+                h, cls, place, _, _ = _hashed(b.column(0))
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(cls), pa.array(np.bincount(place, minlength=len(h)).astype(np.int64))], names=["h", "cls", "n"])
 
     rows = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "h long, cls short, n long")
@@ -147,7 +149,7 @@ def encoded(docs: DataFrame, head: Head, train: Column, id_col: str, text_col: s
         logs = np.log10(top.count + 0.5)
         for whole in batches:
             for b in (whole.slice(i, 500) for i in range(0, whole.num_rows, 500)):
-                h, suffix, place, start, size = _hashed(b.column(2).to_pylist())
+                h, suffix, place, start, size = _hashed(b.column(2))
                 k = np.minimum(np.searchsorted(top.h, h), max(0, len(top.h) - 1))
                 known = top.h[k] == h if len(top.h) else np.zeros(len(h), bool)
                 cls = np.where(suffix < 0, top.own, top.own + 1 + suffix)
@@ -193,18 +195,43 @@ def unigrams(head: Head) -> np.ndarray:
 
 
 class Adam:
-    """Steps of a model's parameters by running means of gradients and their squares."""
+    """Steps of a model's parameters by running means of gradients and their squares.
 
-    def __init__(self, model: LogBilinear):
-        self.params, self.t = model.params(), 0
-        self.mean, self.square = ([np.zeros_like(p) for p in self.params] for _ in range(2))
+    Parameters and gradients are one vector each, of which the model's arrays (float32 from
+    here on) and `gradients` are views: a step is a few passes over a vector.
+    """
 
-    def step(self, gradients: list[np.ndarray], rate: float) -> None:
+    def __init__(self, model: LogBilinear):
+        self.x = np.concatenate([p.ravel() for p in model.params()]).astype(np.float32)
+        self.mean, self.square, self.g, self.work = (np.zeros_like(self.x) for _ in range(4))
+        self.t, shapes = 0, [p.shape for p in model.params()]
+        ends = np.cumsum([math.prod(s) for s in shapes])[:-1]
+        model.r, first, second, model.q, model.b = (p.reshape(s) for p, s in zip(np.split(self.x, ends), shapes, strict=True))
+        model.mix = [first, second]
+        self.gradients = [p.reshape(s) for p, s in zip(np.split(self.g, ends), shapes, strict=True)]
+
+    def step(self, rate: float) -> None:
+        """By what `gradients` hold, which is lost."""
+        # the means lack their factors 0.1 and 0.001, which are taken into the rate
         self.t += 1
-        for p, a, v, g in zip(self.params, self.mean, self.square, gradients, strict=True):
-            a += 0.1 * (g - a)
-            v += 0.001 * (g * g - v)
-            p -= rate * (a / (1 - 0.9**self.t)) / (np.sqrt(v / (1 - 0.999**self.t)) + 1e-9)
+        g, a, v, work = self.g, self.mean, self.square, self.work
+        a *= 0.9
+        a += g
+        g *= g
+        v *= 0.999
+        v += g
+        scale = (0.001 / (1 - 0.999**self.t)) ** 0.5
+        np.sqrt(v, out=work)
+        work += 1e-9 / scale
+        np.divide(a, work, out=work)
+        work *= rate * 0.1 / (1 - 0.9**self.t) / scale
+        self.x -= work
+
+
+def _add(out: np.ndarray, places: np.ndarray, rows: np.ndarray) -> None:
+    """Adds the rows to `out` at their places. Both count pairs of numbers, and a complex number
+    is added as its two parts are: that halves the places."""
+    np.add.at(out.reshape(-1).view(np.complex64), places.reshape(-1), rows.reshape(-1).view(np.complex64))
 
 
 @dataclass
@@ -242,29 +269,45 @@ class LogBilinear:
         BATCH; noise comes from the classes' frequencies. `begin` and `end` place the pass in
         the whole training, on which the rate depends."""
         share = (unigram + 0.5) / (unigram + 0.5).sum()
-        noise_cum, noise_log = np.cumsum(share), np.log(share)
+        noise_cum, against = np.cumsum(share), (np.log(share) + np.log(NOISE)).astype(np.float32)
+        g_r, g_first, g_second, g_q, g_b = adam.gradients
+        places = np.arange(self.r.size // 2).reshape(len(self.r), -1)
+        h_i, h_j = np.empty_like(g_r), np.empty_like(g_r)
         order = rng.permutation(len(target))
+        first, second, target = first[order], second[order], target[order]
         for k in range(0, len(order), BATCH):
-            pick = order[k : k + BATCH]
-            i, j, w = first[pick], second[pick], target[pick]
+            i, j, w = first[k : k + BATCH], second[k : k + BATCH], target[k : k + BATCH]
             noise = np.minimum(np.searchsorted(noise_cum, rng.random(NOISE)), len(share) - 1)
-            ri, rj = self.r[i], self.r[j]
-            hidden = ri @ self.mix[0] + rj @ self.mix[1]
-            # log-odds of data against NOISE draws of noise, scores taken as normalised
-            s_w = (hidden * self.q[w]).sum(axis=1) + self.b[w] - noise_log[w] - np.log(NOISE)
-            s_n = hidden @ self.q[noise].T + self.b[noise] - noise_log[noise] - np.log(NOISE)
-            g_w = (1 / (1 + np.exp(-np.clip(s_w, -30, 30))) - 1) / len(pick)
-            g_n = 1 / (1 + np.exp(-np.clip(s_n, -30, 30))) / len(pick)
-            g_q, g_b, g_r = np.zeros_like(self.q), np.zeros_like(self.b), np.zeros_like(self.r)
-            np.add.at(g_q, w, g_w[:, None] * hidden)
-            np.add.at(g_q, noise, g_n.T @ hidden)
-            np.add.at(g_b, w, g_w)
-            np.add.at(g_b, noise, g_n.sum(axis=0))
-            g_h = g_w[:, None] * self.q[w] + g_n @ self.q[noise]
-            np.add.at(g_r, i, g_h @ self.mix[0].T)
-            np.add.at(g_r, j, g_h @ self.mix[1].T)
+            # every class is multiplied once, not every token
+            hidden = (self.r @ self.mix[0]).take(i, axis=0)
+            hidden += (self.r @ self.mix[1]).take(j, axis=0)
+            q_w, q_n, bias = self.q.take(w, axis=0), self.q[noise], against - self.b
+            # minus the log-odds of data against NOISE draws of noise, scores taken as normalised
+            s_w = bias[w] - np.einsum("ij,ij->i", hidden, q_w)
+            s_n = hidden @ -q_n.T
+            s_n += bias[noise]
+            g_w = (1 / (1 + np.exp(np.clip(s_w, -30, 30))) - 1) / np.float32(len(w))
+            # 1 / (1 + exp) in place; exp of less than -30 adds nothing to 1
+            np.minimum(s_n, 30, out=s_n)
+            np.exp(s_n, out=s_n)
+            s_n += 1
+            g_n = np.divide(np.float32(1 / len(w)), s_n, out=s_n)
+            g_q[:] = h_i[:] = h_j[:] = 0
+            _add(g_q, places.take(noise, axis=0), g_n.T @ hidden)
+            hidden *= g_w[:, None]
+            _add(g_q, places.take(w, axis=0), hidden)
+            g_b[:] = np.bincount(w, g_w, len(g_b)) + np.bincount(noise, g_n.sum(axis=0), len(g_b))
+            g_h = g_n @ q_n
+            g_h += g_w[:, None] * q_w
+            # of each class as the first and as the second of the context
+            _add(h_i, places.take(i, axis=0), g_h)
+            _add(h_j, places.take(j, axis=0), g_h)
+            np.matmul(h_i, self.mix[0].T, out=g_r)
+            g_r += h_j @ self.mix[1].T
+            np.matmul(self.r.T, h_i, out=g_first)
+            np.matmul(self.r.T, h_j, out=g_second)
             done = begin + (end - begin) * k / len(order)
-            adam.step([g_r, ri.T @ g_h, rj.T @ g_h, g_q, g_b], RATE * min(1.0, 2 * (1 - done) + 1e-3))
+            adam.step(RATE * min(1.0, 2 * (1 - done) + 1e-3))
 
     def log_normalisers(self) -> np.ndarray:
         """Of every context, what its scores exceed log probabilities by, (side, side)."""
@@ -314,7 +357,7 @@ def trained(rows: DataFrame, head: Head) -> tuple[LogBilinear, int]:
                         m.learn(adam, *found, unigram, rng, (k + x / again) / ROUNDS, (k + (x + 1) / again) / ROUNDS)
                     n += len(found[2])
             if n:
-                flat = np.concatenate([p.ravel() for p in m.params()])
+                flat = adam.x.astype(np.float64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat * n), pa.array(np.full(len(flat), n))], names=["i", "x", "n"])
 
         part = rows.where(F.pmod(F.xxhash64("row"), F.lit(ROUNDS)) == k).select("classes")

@@ -7,7 +7,9 @@ import math
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from lodestone.llm import components, decontam, html_region, lbl, minhash, ppm, quality, sampled_pieces, templates, textcnn, url_rules
@@ -437,6 +439,62 @@ def test_language_model_counts(documents, texts):
         assert (rows[d]["n_tokens"], rows[d]["n_known"], rows[d]["train_tokens"]) == (len(w), sum(c[x] > 0 for x in w), n)
 
 
+def test_language_model_tokens(monkeypatch):
+    """Tokens of batches that are slices of others, as plain code finds them; a word that
+    repeats in a batch is hashed once."""
+    hashed, digest = [], xxhash.xxh3_64_intdigest
+    monkeypatch.setattr(xxhash, "xxh3_64_intdigest", lambda x: hashed.append(x) or digest(x))
+    lbl._hashed(pa.array(["one two one", "Two  three"] * 50))
+    assert sorted(hashed) == [b"one", b"three", b"two"]
+    monkeypatch.undo()
+    odd = [None, "", " \t\n ", "A\x1cB c\x85d E\u2003x\u3000", "\x0bÄÖ İI\x0c\r ZZ\x00z  y\x1f w", "one two one", "\ufeffa", "x" * 9000 + " " + "y " * 5000, "\ud7ff\U0010ffff K"]
+    plenty = [f"A{i} b\nc " * (i % 5) for i in range(1500)] + odd
+    for kind in (pa.string(), pa.large_string()):
+        for a, n in ((0, 500), (500, 500), (1000, 509), (1503, 4), (7, 0)):
+            h, suffix, place, start, size = lbl._hashed(pa.array(plenty, kind).slice(a, n))
+            assert len(size) == n and len(place) == size.sum()
+            for text, at, m in zip(plenty[a : a + n], start, size, strict=True):
+                assert h[place[at : at + m]].tolist() == [*(xxhash.xxh3_64_intdigest(x) for x in words(text)), int(lbl.END)]
+                assert suffix[place[at : at + m]].tolist() == [*(zlib.crc32(x[-2:]) % lbl.SUFFIX for x in words(text)), -1]
+
+
+def test_language_model_step_is_the_gradient():
+    """A step over one batch, repeated classes and noise included, against plain sums in double
+    precision."""
+    rng = np.random.default_rng(2)
+    classes, n = 40, lbl.BATCH
+    i, j, w = rng.integers(0, classes + 1, n), rng.integers(0, classes + 1, n), rng.integers(0, 7, n)
+    unigram = np.bincount(w, minlength=classes).astype(float)
+    model = lbl.LogBilinear.start(unigram)
+    r, (first, second), q, b = model.r.copy(), [x.copy() for x in model.mix], model.q.copy(), model.b.copy()
+    adam = lbl.Adam(model)
+    model.learn(adam, i, j, w, unigram, np.random.default_rng(9), 0.0, 1.0)
+    same = np.random.default_rng(9)
+    same.permutation(n)
+    share = (unigram + 0.5) / (unigram + 0.5).sum()
+    noise = np.minimum(np.searchsorted(np.cumsum(share), same.random(lbl.NOISE)), classes - 1)
+    grads = [np.zeros_like(x) for x in (r, first, second, q, b)]
+    for x, y, z in zip(i, j, w, strict=True):
+        hidden = r[x] @ first + r[y] @ second
+        g_hidden = np.zeros(lbl.DIM)
+        for k, wanted in [(z, 1), *((k, 0) for k in noise)]:
+            s = hidden @ q[k] + b[k] - np.log(share[k]) - np.log(lbl.NOISE)
+            g = (1 / (1 + np.exp(-s)) - wanted) / n
+            grads[3][k] += g * hidden
+            grads[4][k] += g
+            g_hidden += g * q[k]
+        grads[0][x] += first @ g_hidden
+        grads[0][y] += second @ g_hidden
+        grads[1] += np.outer(r[x], g_hidden)
+        grads[2] += np.outer(r[y], g_hidden)
+    assert model.r.dtype == np.float32 and adam.t == 1
+    flat = np.concatenate([g.ravel() for g in grads])
+    assert np.allclose(adam.mean, flat, rtol=1e-3, atol=1e-7) and np.abs(flat).max() > 1e-3
+    moved = adam.x - np.concatenate([x.ravel() for x in (r, first, second, q, b)])
+    clear = np.abs(flat) > 1e-6  # the first step of each parameter is the rate, against its gradient
+    assert np.allclose(moved[clear], -lbl.RATE * np.sign(flat[clear]), rtol=1e-2)
+
+
 def test_language_model_is_normalised():
     rng = np.random.default_rng(1)
     side = lbl.CLASSES + 1
