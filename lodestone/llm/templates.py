@@ -58,9 +58,10 @@ def _texts(docs: DataFrame, text_col: str) -> DataFrame:
 
 def _lines(docs: DataFrame, text_col: str) -> DataFrame:
     """key, pos, n (tokens), leaf, body (hash of the masked line) of every line with a token."""
-    rows = _texts(docs, text_col).select("key", F.posexplode(F.split("text", "\n")).alias("pos", "line")).select("key", "pos", _masked(F.col("line")).alias("m"))
-    n = F.when(F.col("m") == "", 0).otherwise(F.length("m") - F.length(F.replace("m", F.lit(" "), F.lit(""))) + 1)
-    rows = rows.withColumn("n", n).where(F.col("n") > 0)
+    rows = _texts(docs, text_col).select("key", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    # a filter by n would be pushed below the masking, and work that out once more for each mention
+    rows = rows.where(F.col("line").rlike("[^\\x20\\x09-\\x0D]")).select("key", "pos", _masked(F.col("line")).alias("m"))
+    rows = rows.withColumn("n", F.octet_length("m") - F.octet_length(F.replace("m", F.lit(" "), F.lit(""))) + 1)
     return rows.select("key", "pos", "n", F.xxhash64("n", F.substring_index("m", " ", DEPTH)).alias("leaf"), F.xxhash64("n", "m").alias("body"))
 
 

@@ -412,6 +412,14 @@ def test_line_templates_broadcast_nothing(documents, monkeypatch):
     assert len(plans) > 9 and not [name for name, plan in plans.items() if "Broadcast" in plan]
 
 
+def test_line_templates_mask_once(documents):
+    """No filter works out the masked line for itself."""
+    lines = templates._lines(documents, "text")
+    plan = lines._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    assert any("regexp_replace" in x for x in plan) and not any("Filter" in x and "regexp_replace" in x for x in plan)
+    assert lines.where("n < 1").count() == 0
+
+
 def test_line_templates_empty(documents):
     assert templates.drop_recurring_lines(documents.limit(0)).count() == 0
 
