@@ -6,6 +6,7 @@ join or an aggregate over (s, p, o, o_kind, o_dtype) rows.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -19,6 +20,8 @@ XSD = "http://www.w3.org/2001/XMLSchema#"
 REPORT = ["focus_node", "path", "value", "constraint", "message"]
 #: Types whose text must parse, and as what.
 LEXICAL = {XSD + "decimal": "decimal(38,18)", XSD + "integer": "decimal(38,0)", XSD + "dateTime": "timestamp", XSD + "boolean": "boolean", XSD + "double": "double"}
+#: Rows a task where rows meet by their focus node. Shuffled bytes don't bound them: keys in order shrink to a few bytes.
+TASK_ROWS = 300_000
 
 
 @dataclass
@@ -53,19 +56,26 @@ class Checker:
 
     def __init__(self, triples: DataFrame, subclasses: DataFrame | None = None):
         self.t = triples if "o_dtype" in triples.columns else triples.withColumn("o_dtype", F.lit(None).cast("string"))
-        types = self.t.where(F.col("p") == RDF_TYPE).select("s", F.col("o").alias("cls")).distinct()
+        types = self.t.where(F.col("p") == RDF_TYPE).select("s", F.col("o").alias("cls"))
         if subclasses is not None:
             up = subclass_closure(subclasses)
-            types = types.unionByName(types.join(up, types.cls == up["sub"]).select("s", F.col("super").alias("cls"))).distinct()
-        self.types = types
+            types = types.unionByName(types.join(up, types.cls == up["sub"]).select("s", F.col("super").alias("cls")))
+        self.types = types  # a row may be there twice
 
     def targets(self, shape: Shape) -> DataFrame:
+        """(focus), each of them once or more."""
         out = []
         if shape.target_classes:
             out.append(self.types.where(F.col("cls").isin(shape.target_classes)).select(F.col("s").alias("focus")))
         if shape.target_subjects_of:
             out.append(self.t.where(F.col("p").isin(shape.target_subjects_of)).select(F.col("s").alias("focus")))
-        return reduce(DataFrame.unionByName, out).distinct()
+        return reduce(DataFrame.unionByName, out)
+
+    def tasks(self, shape: Shape) -> int:
+        """How many tasks the rows of a shape are dealt to, by the number of its most frequent predicate's rows."""
+        paths = {p.path for p in (*shape.properties, *(p for group in shape.exactly_one for p in group))} | {*shape.target_subjects_of} | ({RDF_TYPE} if shape.target_classes else set())
+        rows = max((r["count"] for r in self.t.where(F.col("p").isin(sorted(paths))).groupBy("p").count().collect()), default=0)
+        return max(1, math.ceil(rows / TASK_ROWS), min(self.t.sparkSession.sparkContext.defaultParallelism, 10 * rows // TASK_ROWS))
 
     def values(self, p: Property) -> DataFrame:
         rows = self.t.where(F.col("p") == p.path)
@@ -78,21 +88,41 @@ class Checker:
         value = F.col("value") if "value" in df.columns else F.lit(None)
         return df.select(F.col("focus").alias("focus_node"), F.lit(path).alias("path"), value.cast("string").alias("value"), F.lit(constraint).alias("constraint"), F.lit(message).alias("message"))
 
+    @staticmethod
+    def reports(df: DataFrame, path: str, rules: list[tuple[str, Column, str]]) -> DataFrame:
+        """The same for several rules (constraint, what is wrong, message) in one pass: a row for each that a row breaks."""
+        broken = F.array_compact(F.array(*[F.when(wrong, F.struct(F.lit(c).alias("constraint"), F.lit(m).alias("message"))) for c, wrong, m in rules]))
+        return df.select(F.col("focus").alias("focus_node"), F.lit(path).alias("path"), F.col("value").cast("string").alias("value"), F.inline(broken))
+
+    @staticmethod
+    def among(rows: DataFrame, targets: DataFrame, tasks: int) -> DataFrame:
+        """Rows whose focus is a target. A semi join would be moved before the repartition."""
+        return rows.repartition(tasks, "focus").join(targets.repartition(tasks, "focus").distinct().hint("merge"), "focus")
+
     def has_class(self, values: DataFrame, classes: list[str], how: str) -> DataFrame:
         members = self.types.where(F.col("cls").isin(classes)).select(F.col("s").alias("value")).distinct()
         return values.join(members, "value", how)
 
-    def property(self, targets: DataFrame, p: Property) -> list[DataFrame]:
-        found = self.values(p).join(targets, "focus", "left_semi")
+    def counts(self, targets: DataFrame, p: Property, tasks: int) -> DataFrame:
+        """(focus, value: how many different values) of each target. Targets and values meet in
+        one aggregate by focus, without a join."""
+        none = F.lit(None).cast("string")
+        held = self.values(p).where(F.col("focus").isNotNull()).select("focus", "value", "kind", F.lit(False).alias("target"))
+        rows = targets.select("focus", none.alias("value"), none.alias("kind"), F.lit(True).alias("target")).unionByName(held).repartition(tasks, "focus")
+        each = rows.groupBy("focus", "value", "kind").agg(F.bool_or("target").alias("target"))
+        n = F.count(F.when(F.col("kind").isNotNull(), F.col("value")))
+        return each.groupBy("focus").agg(F.bool_or("target").alias("target"), n.alias("value")).where("target").drop("target")
+
+    def property(self, targets: DataFrame, p: Property, tasks: int) -> list[DataFrame]:
         name = ("^" if p.inverse else "") + p.path
         out = []
-        say = lambda df, c, m: out.append(self.report(df, name, c, m))
-        if p.min_count is not None or p.max_count is not None:
-            counts = targets.join(found.groupBy("focus").agg(F.count_distinct("value", "kind").alias("n")), "focus", "left").select("focus", F.coalesce("n", F.lit(0)).alias("value"))
-            if p.min_count is not None:
-                say(counts.where(F.col("value") < p.min_count), "minCount", f"fewer than {p.min_count} values")
-            if p.max_count is not None:
-                say(counts.where(F.col("value") > p.max_count), "maxCount", f"more than {p.max_count} values")
+        limits: list[tuple[str, Column, str]] = []
+        if p.min_count is not None:
+            limits.append(("minCount", F.col("value") < p.min_count, f"fewer than {p.min_count} values"))
+        if p.max_count is not None:
+            limits.append(("maxCount", F.col("value") > p.max_count, f"more than {p.max_count} values"))
+        if limits:
+            out.append(self.reports(self.counts(targets, p, tasks), name, limits))
         bad: list[tuple[str, Column, str]] = []
         if p.node_kind:
             bad.append(("nodeKind", F.col("kind") != p.node_kind, f"is no {p.node_kind}"))
@@ -110,30 +140,34 @@ class Checker:
             bad.append(("pattern", ~F.col("value").rlike(p.pattern), f"doesn't match {p.pattern}"))
         if p.values is not None:
             bad.append(("in", ~F.col("value").isin(p.values), "is not in the list"))
-        for constraint, wrong, message in bad:
-            say(found.where(wrong), constraint, message)
-        if p.cls:
-            say(self.has_class(found, [p.cls], "left_anti"), "class", f"is no {p.cls}")
-        if p.any_class:
-            say(self.has_class(found, p.any_class, "left_anti"), "or", "is of none of the classes")
-        if p.not_class:
-            say(self.has_class(found, [p.not_class], "left_semi"), "not", f"is a {p.not_class}")
+        if bad:  # what breaks no rule isn't shuffled
+            wrong = self.values(p).where(reduce(Column.__or__, [x for _, x, _ in bad]))
+            out.append(self.reports(self.among(wrong, targets, tasks), name, bad))
+        if p.cls or p.any_class or p.not_class:
+            found = self.among(self.values(p), targets, tasks)
+            if p.cls:
+                out.append(self.report(self.has_class(found, [p.cls], "left_anti"), name, "class", f"is no {p.cls}"))
+            if p.any_class:
+                out.append(self.report(self.has_class(found, p.any_class, "left_anti"), name, "or", "is of none of the classes"))
+            if p.not_class:
+                out.append(self.report(self.has_class(found, [p.not_class], "left_semi"), name, "not", f"is a {p.not_class}"))
         return out
 
     def check(self, shape: Shape) -> DataFrame:
         """Violations of a shape: focus_node, path, value, constraint, message."""
-        targets = self.targets(shape)
+        targets, tasks = self.targets(shape), self.tasks(shape)
         out = []
         if shape.node_kind == "iri":
-            out.append(self.report(targets.where(F.col("focus").startswith("_:")), "", "nodeKind", "is no iri"))
+            out.append(self.report(targets.where(F.col("focus").startswith("_:")).distinct(), "", "nodeKind", "is no iri"))
         for p in shape.properties:
-            out += self.property(targets, p)
+            out += self.property(targets, p, tasks)
         if shape.exactly_one:
-            flags = targets
+            marks = [targets.select("focus", F.lit(-1).alias("group"))]
             for i, group in enumerate(shape.exactly_one):
-                wrong = reduce(DataFrame.unionByName, [x for p in group for x in self.property(targets, p)])
-                flags = flags.join(wrong.select(F.col("focus_node").alias("focus")).distinct().withColumn(f"bad{i}", F.lit(1)), "focus", "left")
-            holding = sum((F.when(F.col(f"bad{i}").isNull(), 1).otherwise(0) for i in range(len(shape.exactly_one))), F.lit(0))
+                marks += [x.where(F.col("focus_node").isNotNull()).select(F.col("focus_node").alias("focus"), F.lit(i).alias("group")) for p in group for x in self.property(targets, p, tasks)]
+            groups = range(len(shape.exactly_one))
+            flags = reduce(DataFrame.unionByName, marks).repartition(tasks, "focus").groupBy("focus").agg(*[F.bool_or(F.col("group") == i).alias(f"bad{i}") for i in groups])
+            holding = sum((F.when(F.col(f"bad{i}"), 0).otherwise(1) for i in groups), F.lit(0))
             out.append(self.report(flags.where(holding != 1), "", "xone", "not exactly one alternative holds"))
         return reduce(DataFrame.unionByName, out) if out else self.report(targets.where(F.lit(False)), "", "", "")
 

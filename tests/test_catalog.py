@@ -215,6 +215,28 @@ def test_shapes_find_each_fault(spark, graph):
     assert check([(X + "m", "http://www.w3.org/2000/01/rdf-schema#label", "", "literal", shapes.XSD + "integer")]) == {"datatype", "minLength"}
 
 
+@pytest.mark.parametrize("kind", ["counts", "values", "exactly_one"])
+def test_shape_tasks_are_bounded_by_rows(spark, monkeypatch, kind):
+    """Rows of one task: of nodes that all break a rule, whose keys shrink to little when shuffled."""
+    monkeypatch.setattr(shapes, "TASK_ROWS", 1000, raising=False)
+    node = F.concat(F.lit("n/"), "id")
+    rows = spark.range(20000).select(node.alias("s"), F.inline(F.expr(f"array(struct('{TYPE}' as p, '{X}C' as o, 'iri' as o_kind), struct('{X}q' as p, 'v' as o, 'literal' as o_kind))")))
+    rule = {"counts": shapes.Property(X + "q", max_count=0), "values": shapes.Property(X + "q", pattern="^w")}.get(kind)
+    shape = shapes.Shape(target_classes=[X + "C"], properties=[rule]) if rule else shapes.Shape(target_classes=[X + "C"], exactly_one=[[shapes.Property(X + "q", pattern="^w")], [shapes.Property(X + "q", max_count=0)]])
+    found = shapes.Checker(rows).check(shape).groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in found) == 20000 and max(r["count"] for r in found) < 2000
+
+
+def test_shapes_count_different_values_of_targets(spark):
+    """Values count once though given twice, a target counts once, and other nodes don't."""
+    lit = lambda s, p, o: (s, p, o, "literal", None)
+    is_a = lambda s: (s, TYPE, X + "C", "iri", None)
+    rows = spark.createDataFrame([is_a("a"), is_a("a"), lit("a", "q", "1"), lit("a", "q", "1"), is_a("b"), lit("b", "q", "1"), lit("b", "q", "2"), is_a("c"), lit("d", "q", "1"), lit("d", "q", "2")], readers.TRIPLE)
+    shape = shapes.Shape(target_classes=[X + "C"], properties=[shapes.Property("q", min_count=1, max_count=1, pattern="^1", values=["1"])])
+    found = sorted((r["focus_node"], r["constraint"], r["value"]) for r in shapes.Checker(rows).check(shape).collect())
+    assert found == [("b", "in", "2"), ("b", "maxCount", "2"), ("b", "pattern", "2"), ("c", "minCount", "0")]
+
+
 def test_paged_source():
     pages = {"http://c.test/m": {"data": [{"id": "a"}], "links": {"next": "http://c.test/m?p=2"}}, "http://c.test/m?p=2": {"data": [{"id": "a"}, {"id": "b"}]}}
     fetch = lambda u: json.dumps(pages[u]).encode()
