@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -12,14 +12,21 @@ def natural_value(x: Column) -> Column:
     return F.coalesce(F.when(x.rlike(r"^-?\d+$"), whole.cast("string")), F.when(number.isNotNull() & ~F.isnan(number), number.cast("string")), F.to_json(F.array(x)).substr(F.lit(2), F.length(F.to_json(F.array(x))) - 2))
 
 
+def sorted_lists(rows: DataFrame, key: str, fields: list[str], name: str) -> DataFrame:
+    """(key, name): the rows of each key as a sorted list of structs. A window sorts rows once;
+    an aggregate would sort them on both sides of the shuffle and pack a list for each in between."""
+    each = Window.partitionBy(key).orderBy(*fields)
+    out = rows.select(key, F.collect_list(F.struct(*fields)).over(each.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias(name), F.row_number().over(each).alias("__n"))
+    return out.where(F.col("__n") == 1).drop("__n")
+
+
 def nested_catalog(models: DataFrame, offerings: DataFrame, prices: DataFrame) -> DataFrame:
     """One row a model: its offerings, each with its prices, as one JSON text; sorted, so
     that equal tables give equal texts."""
-    price = F.struct("category", "tier", "unit", F.col("amount").cast("string").alias("amount"), "conditions")
-    by_offer = prices.groupBy("offering_id").agg(F.array_sort(F.collect_list(price)).alias("prices"))
-    offer = F.struct("id", "provider_id", "kind", "mode", F.coalesce("prices", F.array().cast(by_offer.schema["prices"].dataType)).alias("prices"))
-    joined = offerings.join(by_offer, offerings.id == by_offer.offering_id, "left").drop("offering_id")
-    by_model = joined.groupBy("model_id").agg(F.array_sort(F.collect_list(offer)).alias("offerings"))
+    by_offer = sorted_lists(prices.select("offering_id", "category", "tier", "unit", F.col("amount").cast("string").alias("amount"), "conditions"), "offering_id", ["category", "tier", "unit", "amount", "conditions"], "prices")
+    joined = offerings.join(by_offer, offerings.id == by_offer.offering_id, "left")
+    offers = joined.select("model_id", "id", "provider_id", "kind", "mode", F.coalesce("prices", F.array().cast(by_offer.schema["prices"].dataType)).alias("prices"))
+    by_model = sorted_lists(offers, "model_id", ["id", "provider_id", "kind", "mode", "prices"], "offerings")
     out = models.join(by_model, models.id == by_model.model_id, "left")
     return out.select("id", "name", F.to_json(F.struct("id", "name", "source_id", F.coalesce("offerings", F.array().cast(by_model.schema["offerings"].dataType)).alias("offerings"))).alias("json"))
 

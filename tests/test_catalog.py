@@ -237,6 +237,18 @@ def test_shapes_count_different_values_of_targets(spark):
     assert found == [("b", "in", "2"), ("b", "maxCount", "2"), ("b", "pattern", "2"), ("c", "minCount", "0")]
 
 
+def test_nested_catalog_sorts_each_list_once(spark):
+    """Lists are sorted with nulls first, equal rows stay, and no aggregate packs partial lists."""
+    models = spark.createDataFrame([("m", "M", "s"), ("n", "N", "t")], "id string, name string, source_id string")
+    offers = spark.createDataFrame([("o2", "m", "h", "k", None), ("o1", "m", "h", "k", "x"), ("o1", "m", "h", "k", None)], "id string, model_id string, provider_id string, kind string, mode string")
+    prices = spark.createDataFrame([("o1", "b", "t", "u", 10, None), ("o1", "b", "t", "u", 9, "c"), ("o1", None, "t", "u", 1, None), ("o1", "b", "t", "u", 9, "c"), (None, "b", "t", "u", 9, "c")], "offering_id string, category string, tier string, unit string, amount int, conditions string")
+    out = export.nested_catalog(models, offers, prices)
+    got = {r["id"]: json.loads(r["json"])["offerings"] for r in out.collect()}
+    assert got["n"] == [] and [(o["id"], o.get("mode"), len(o["prices"])) for o in got["m"]] == [("o1", None, 4), ("o1", "x", 4), ("o2", None, 0)]
+    assert [(p.get("category"), p["amount"], p.get("conditions")) for p in got["m"][0]["prices"]] == [(None, "1", None), ("b", "10", None), ("b", "9", "c"), ("b", "9", "c")]
+    assert "ObjectHashAggregate" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_paged_source():
     pages = {"http://c.test/m": {"data": [{"id": "a"}], "links": {"next": "http://c.test/m?p=2"}}, "http://c.test/m?p=2": {"data": [{"id": "a"}, {"id": "b"}]}}
     fetch = lambda u: json.dumps(pages[u]).encode()
